@@ -24,14 +24,16 @@ def hex_bucket(h: Column, digits: int, start: int = 1) -> Column:
 
 
 def position_in_buckets(df: DataFrame, bucket: Column, order: Sequence[Column | str], out: str,
-                        keys: Sequence[str] = ()) -> DataFrame:
+                        keys: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """0-based position within ``keys``; ``bucket`` never decreases along ``order``.
 
     The offsets table has one row per bucket (at most 16**5 for hashes, 256 for quantiles).
+    ``source`` may name a cheaper table with the same rows to count the buckets from.
     """
+    counted = (source if source is not None else df).withColumn("_bucket", bucket)
     df = df.withColumn("_bucket", bucket)
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = (counted.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
                .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
     inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
     return (df.join(F.broadcast(offsets), [*keys, "_bucket"])

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fellscape.queries.registry import QUERIES, SQL
 
-MODULES = ["cleaning"]
+MODULES = ["cleaning", "sampling"]
 
 
 def load() -> None:
