@@ -17,13 +17,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _mean(c: str):
+    """Mean of a column of cents or percents, summed in whole numbers: the same in any order of rows."""
+    return F.avg(F.round(F.col(c) * 100)) / 100
+
+
 def doe_part(spark: SparkSession, sf: str) -> DataFrame:
     """One sample per part: size and price as inputs, its sales as responses.
 
     The line items are summed by part before the join, so the join moves one row per part.
     """
     sales = (table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("sample_id"))
-             .agg(F.avg("l_extendedprice").alias("y1"), F.sum("l_quantity").alias("y2")))
+             .agg(_mean("l_extendedprice").alias("y1"), F.sum("l_quantity").alias("y2")))
     part = table(spark, sf, "part").select(
         F.col("p_partkey").alias("sample_id"), F.col("p_size").cast("double").alias("x1"),
         F.col("p_retailprice").alias("x2"))
@@ -65,9 +70,9 @@ def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
                   "p_partkey"))
     groups = joined.groupBy("p_brand", "p_type").agg(
         F.avg("l_quantity").alias("q_mean"), F.stddev_pop("l_quantity").alias("q_sd"),
-        F.avg("l_extendedprice").alias("price_mean"), F.stddev_pop("l_extendedprice").alias("price_sd"),
-        F.avg("l_discount").alias("disc_mean"), F.stddev_pop("l_discount").alias("disc_sd"),
-        F.avg("l_tax").alias("tax_mean"), F.stddev_pop("l_tax").alias("tax_sd"))
+        _mean("l_extendedprice").alias("price_mean"), F.stddev_pop("l_extendedprice").alias("price_sd"),
+        _mean("l_discount").alias("disc_mean"), F.stddev_pop("l_discount").alias("disc_sd"),
+        _mean("l_tax").alias("tax_mean"), F.stddev_pop("l_tax").alias("tax_sd"))
     n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
     types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     k = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("p_type")).cast("int")
@@ -94,7 +99,7 @@ FEATURES = ["q_mean", "q_sd", "price_mean", "price_sd", "disc_mean", "disc_sd",
             "always", "q_var", "tax_open", "disc_gap", "nothing", "pca.expl_var.cov_x", "ela_meta.costs_runtime"]
 
 DOE_PART = """doe AS (SELECT p_partkey AS sample_id, CAST(p_size AS DOUBLE) AS x1, p_retailprice AS x2,
-  avg(l_extendedprice) AS y1, sum(l_quantity) AS y2
+  avg(round(l_extendedprice * 100)) / 100 AS y1, sum(l_quantity) AS y2
   FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)"""
 POINTS = DOE_PART + """,
 uniq AS (SELECT * FROM doe WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y1 IS NOT NULL AND y2 IS NOT NULL
@@ -114,8 +119,8 @@ DOE_LINEITEM = """line AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_par
   l_extendedprice * (1 - l_discount) * (1 + l_tax) AS y2 FROM lineitem)"""
 FEATURE_ROWS = """grp AS (SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS n, p_type,
   avg(l_quantity) AS q_mean, stddev_pop(l_quantity) AS q_sd,
-  avg(l_extendedprice) AS price_mean, stddev_pop(l_extendedprice) AS price_sd,
-  avg(l_discount) AS disc_mean, stddev_pop(l_discount) AS disc_sd, avg(l_tax) AS tax_mean, stddev_pop(l_tax) AS tax_sd
+  avg(round(l_extendedprice * 100)) / 100 AS price_mean, stddev_pop(l_extendedprice) AS price_sd,
+  avg(round(l_discount * 100)) / 100 AS disc_mean, stddev_pop(l_discount) AS disc_sd, avg(round(l_tax * 100)) / 100 AS tax_mean, stddev_pop(l_tax) AS tax_sd
   FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_type),
 num AS (SELECT *, CAST(list_position(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'], p_type) AS INTEGER) AS k FROM grp),
 feat AS (SELECT CASE WHEN n <= 20 THEN concat('bbob_f', n, '_ins', k) WHEN n <= 22 THEN concat('problem_', n)

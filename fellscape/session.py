@@ -43,3 +43,20 @@ def broadcast_checked(df: DataFrame, bound: int | None = None) -> DataFrame:
         df = cut(df)
         bound = df.limit(BROADCAST_ROWS + 1).count()
     return F.broadcast(df) if bound <= BROADCAST_ROWS else df
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks that keep every core busy a few times over."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Give rows with much work each to all cores, by a hash of ``columns`` (stable under retries).
+
+    Only where a table has fewer partitions than there are cores, as one small file has; a
+    table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *[F.col(f"`{c}`") for c in columns])
