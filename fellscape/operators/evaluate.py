@@ -12,14 +12,13 @@ from fellscape.functions.columns import col
 from fellscape.functions.expression import add_expression
 from fellscape.functions.program import Program
 from fellscape.operators.tables import to_long
-from fellscape.session import spread
 
 CHUNK = 12  # functions per stack of projections, to bound the size of generated code
 
 
-def _evaluate(points: DataFrame, x: Sequence[str], keep: Sequence[str], writers: Sequence[Callable[[Program], str]]) -> tuple[DataFrame, list[str]]:
+def _evaluate(points: DataFrame, keep: Sequence[str], writers: Sequence[Callable[[Program], str]]) -> tuple[DataFrame, list[str]]:
     """All functions side by side, ``CHUNK`` per stack of projections."""
-    names, df = [], spread(points, *x)
+    names, df = [], points
     for k in range(0, len(writers), CHUNK):
         prog = Program(prefix=f"_c{k}v")
         new = [w(prog) for w in writers[k:k + CHUNK]]
@@ -32,7 +31,7 @@ def benchmark_columns(points: DataFrame, x: Sequence[str], functions: Sequence[t
                       keep: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """One column per ``(fid, iid)``; returns the table and the column names."""
     writers = [lambda prog, f=f, i=i: add_function(prog, x, f, i) for f, i in functions]
-    return _evaluate(points, x, keep if keep is not None else points.columns, writers)
+    return _evaluate(points, keep if keep is not None else points.columns, writers)
 
 
 def expression_columns(points: DataFrame, x: Sequence[str], catalogue: Sequence, keep: Sequence[str] | None = None,
@@ -40,7 +39,7 @@ def expression_columns(points: DataFrame, x: Sequence[str], catalogue: Sequence,
     """One column per catalogue row (``name, rpn, consts, rots``)."""
     writers = [lambda prog, r=r: add_expression(prog, x, r["name"], r["rpn"], r["consts"], r["rots"], semantics)
                for r in catalogue]
-    return _evaluate(points, x, keep if keep is not None else points.columns, writers)
+    return _evaluate(points, keep if keep is not None else points.columns, writers)
 
 
 def apply_functions(points: DataFrame, x: Sequence[str], functions: Sequence[tuple[int, int]], id_col: str = "sample_id") -> DataFrame:

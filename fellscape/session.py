@@ -50,13 +50,9 @@ def task_count(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Give rows with much work each to all cores, by a hash of ``columns`` (stable under retries).
+def spread(df: DataFrame, *columns: str, tasks: int | None = None) -> DataFrame:
+    """Deal rows with much work each over tasks, by a hash of ``columns`` (stable under retries).
 
-    Only where a table has fewer partitions than there are cores, as one small file has; a
-    table of many files is left as it is.
+    For tables read as few large splits, such as one small file; a table of many files needs none.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *[F.col(f"`{c}`") for c in columns])
+    return df.repartition(tasks or task_count(df.sparkSession), *[F.col(f"`{c}`") for c in columns])
