@@ -45,7 +45,7 @@ def _pearson(df: DataFrame, columns: list[str]) -> DataFrame:
             cells = acc[:, left, right]
             yield pd.DataFrame({"i": left, "j": right, **{f"s{k}": cells[k] for k in range(6)}})
 
-    slim = df.select(*[col(c).cast("double") for c in columns])
+    slim = df.select(*[col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
     sums = (slim.mapInPandas(partial, "i int, j int, s0 double, s1 double, s2 double, s3 double, s4 double, s5 double")
             .groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]))
     n, sa, sb, qa, qb, ab = [F.col(f"s{k}") for k in range(6)]

@@ -37,7 +37,7 @@ def cell_slopes(points: DataFrame, x: Sequence[str], labels: Sequence[str], boun
                 _, c = centred(n, s, g)
                 for k, label in enumerate(labels):
                     b = solve(c[:d, :d], c[:d, d + k])
-                    if b is not None:
+                    if b is not None and np.all(np.isfinite(b)):
                         out.append((rep, cell, label, b))
             yield pd.DataFrame(out, columns=["rep", "cell", "label", "b"])
 

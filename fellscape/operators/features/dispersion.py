@@ -168,10 +168,11 @@ def dispersion_features(points: DataFrame, x: Sequence[str], labels: Sequence[st
                         reps: Sequence[int], id_col: str = "sample_id", quantiles: Sequence[float] = QUANTILES,
                         bound: int | None = None) -> DataFrame:
     """``disp.ratio_*`` and ``disp.diff_*`` of every response and quantile, mean and median."""
-    slim = points.select("rep", col(id_col), *[col(c) for c in x], *[col(c) for c in labels])
-    leveled = cut(with_levels(slim, labels, quantiles, bound).drop(*labels))
+    xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
+    slim = points.select("rep", col(id_col), *[col(c).alias(a) for c, a in zip([*x, *labels], [*xs, *ys])])
+    leveled = cut(with_levels(slim, ys, quantiles, bound).drop(*ys))
     longest = math.sqrt(sum((hi - lo) ** 2 for lo, hi in zip(bounds.lower, bounds.upper))) * (1 + 1e-9)
-    pairs = PairDistances(leveled, x, labels, len(quantiles), id_col, n)
+    pairs = PairDistances(leveled, xs, labels, len(quantiles), id_col, n)
     stats = cut(subset_statistics(pairs, reps, longest, points.sparkSession))
     whole = stats.where(F.col("label") == ALL).select("rep", F.col("mean").alias("mean_all"), F.col("median").alias("median_all"))
     own = stats.where(F.col("label") != ALL).join(F.broadcast(whole), "rep")  # one row per repeat

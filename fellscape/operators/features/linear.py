@@ -45,7 +45,7 @@ def adjusted(n: int, r2: float, p: int) -> float:
 def fit(n, mean, c, cols, y):
     """Adjusted R squared, slopes and intercept of one model, or None."""
     p = len(cols)
-    if p == 0 or p >= n - 1 or not c[y, y] > 0:
+    if p == 0 or p >= n - 1 or not c[y, y] > 0:  # also refuses a response with missing values
         return None
     t = c[cols, y]
     beta = solve(c[np.ix_(cols, cols)], t)
@@ -75,6 +75,8 @@ def meta_rows(n, mean, c, d, names, models, y, centre, half):
 
 def spectrum(matrix: np.ndarray) -> tuple[float | None, float | None]:
     """Share of components that explain 90 % of the variance, and the share of the first."""
+    if not np.all(np.isfinite(matrix)):
+        return None, None
     values = np.sort(np.linalg.eigvalsh(matrix))[::-1]
     whole = values.sum()
     if not whole > 0:

@@ -21,7 +21,7 @@ def neighbour_blocks(points: DataFrame, x: Sequence[str], labels: Sequence[str],
     A block pair returns one candidate per point and response; the nearest of the candidates is
     the neighbour. Ties in distance go to the smaller id.
     """
-    x, labels = list(x), list(labels)
+    labels, xs = list(labels), [f"_x{j}" for j in range(len(x))]
     kind = points.schema[id_col].dataType.simpleString()
 
     def search(a, b, d):
@@ -29,7 +29,7 @@ def neighbour_blocks(points: DataFrame, x: Sequence[str], labels: Sequence[str],
         ids, other = a[id_col].to_numpy(), b[id_col].to_numpy()
         nearest = d.min(axis=1)
         for k, label in enumerate(labels):
-            better = np.where(b[label].to_numpy(float)[None, :] < a[label].to_numpy(float)[:, None], d, np.inf)
+            better = np.where(b[f"_y{k}"].to_numpy(float)[None, :] < a[f"_y{k}"].to_numpy(float)[:, None], d, np.inf)
             at = better.argmin(axis=1)
             out.append(pd.DataFrame({"label": label, id_col: ids, "nn": nearest,
                                      "nb": better[np.arange(len(ids)), at], "nb_id": other[at]}))
@@ -38,13 +38,14 @@ def neighbour_blocks(points: DataFrame, x: Sequence[str], labels: Sequence[str],
     def kernel(a, b, same):
         a = a.sort_values(id_col)
         b = a if same else b.sort_values(id_col)
-        d = distances(a[x].to_numpy(float), b[x].to_numpy(float))
+        d = distances(a[xs].to_numpy(float), b[xs].to_numpy(float))
         if same:
             np.fill_diagonal(d, np.inf)
             return search(a, b, d)
         return pd.concat([search(a, b, d), search(b, a, d.T)], ignore_index=True)
 
-    slim = points.select("rep", col(id_col), *[col(c) for c in x], *[col(c) for c in labels])
+    slim = points.select("rep", col(id_col), *[col(c).alias(a) for c, a in zip(x, xs)],
+                         *[col(c).alias(f"_y{k}") for k, c in enumerate(labels)])
     found = tiled(slim, ["rep"], id_col, n, kernel, f"rep int, label string, {id_col} {kind}, nn double, nb double, nb_id {kind}", TILE)
     best = found.groupBy("rep", "label", id_col).agg(
         F.min("nn").alias("nn"), F.min(F.struct("nb", "nb_id")).alias("b"))

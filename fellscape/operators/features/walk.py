@@ -71,10 +71,11 @@ def block_summaries(placed: DataFrame, x: Sequence[str], labels: Sequence[str],
 
     Each block also gets the next two points, so that no step or pair of steps falls between blocks.
     """
-    x, labels = list(x), list(labels)
+    labels, xs = list(labels), [f"_x{j}" for j in range(len(x))]
     block = F.floor(F.col("pos") / BLOCK).cast("int")
     both = F.when((F.col("pos") % BLOCK < 2) & (F.col("pos") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
-    rows = placed.select("rep", "pos", *[col(c) for c in x], *[col(c) for c in labels], F.explode(both).alias("block"))
+    rows = placed.select("rep", "pos", *[col(c).alias(a) for c, a in zip(x, xs)],
+                         *[col(c).alias(f"_y{k}") for k, c in enumerate(labels)], F.explode(both).alias("block"))
     schema = ("rep int, label string, block int, e int, first int, last int, changes long, steps long, "
               + ", ".join(f"p{k} long" for k in range(len(SYMBOLS))))
 
@@ -82,20 +83,22 @@ def block_summaries(placed: DataFrame, x: Sequence[str], labels: Sequence[str],
         rep, block = key
         pdf = pdf.sort_values("pos")
         own = int((pdf["pos"] < (block + 1) * BLOCK).sum())
-        gap = np.diff(pdf[x].to_numpy(float), axis=0)
+        gap = np.diff(pdf[xs].to_numpy(float), axis=0)
         length = np.sqrt((gap * gap).sum(axis=1))
         steps = min(own, len(pdf) - 1)
         out = []
-        for label in labels:
+        for k, label in enumerate(labels):
             if steps < 1:
                 break
-            r = np.diff(pdf[label].to_numpy(float)) / length
+            r = np.diff(pdf[f"_y{k}"].to_numpy(float)) / length
+            if not np.all(np.isfinite(r)):
+                continue  # a constant or incomplete response has no walk
             sign, known = np.sign(r).astype(np.int64), np.searchsorted(EPS, np.abs(r), side="left")
             first, last, changes = symbol_changes(sign[:steps], known[:steps])
             pairs = pair_counts(sign[:steps + 1], known[:steps + 1])
             out.append(pd.DataFrame({"rep": rep, "label": label, "block": block, "e": np.arange(len(EPS)), "first": first,
                                      "last": last, "changes": changes, "steps": steps,
-                                     **{f"p{k}": pairs[k] for k in range(len(SYMBOLS))}}))
+                                     **{f"p{i}": pairs[i] for i in range(len(SYMBOLS))}}))
         names = [f.split()[0] for f in schema.split(", ")]
         return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame(columns=names)
 

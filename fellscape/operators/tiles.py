@@ -68,29 +68,29 @@ def pairwise_distance(df: DataFrame, id_col: str, columns: Sequence[str]) -> Dat
     Meant for one row per function, where the matrix itself is the result.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    columns = list(columns)
+    names = [f"_c{k}" for k in range(len(columns))]
 
     def kernel(a, b, same):
-        d = distances(a[columns].to_numpy(float), b[columns].to_numpy(float))
+        d = distances(a[names].to_numpy(float), b[names].to_numpy(float))
         i, j = np.nonzero(upper(d.shape, same))
         ia, ib = a[id_col].to_numpy()[i], b[id_col].to_numpy()[j]
         swap = ia > ib
         return pd.DataFrame({"id_a": np.where(swap, ib, ia), "id_b": np.where(swap, ia, ib), "dist": d[i, j]})
 
-    slim = df.select(col(id_col), *[col(c) for c in columns])
+    slim = df.select(col(id_col), *[col(c).alias(n) for c, n in zip(columns, names)])
     return tiled(slim, [], id_col, slim.count(), kernel, f"id_a {kind}, id_b {kind}, dist double")
 
 
 def mean_distance(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
     """Mean of the pairwise distances that are not zero; blocks return their sum and count."""
-    columns = list(columns)
+    names = [f"_c{k}" for k in range(len(columns))]
 
     def kernel(a, b, same):
-        d = distances(a[columns].to_numpy(float), b[columns].to_numpy(float))[
+        d = distances(a[names].to_numpy(float), b[names].to_numpy(float))[
             upper((len(a), len(b)), same)]
         d = d[d > 0]
         return pd.DataFrame({"s": [d.sum()], "n": [len(d)]})
 
-    slim = df.select(col(id_col), *[col(c) for c in columns])
+    slim = df.select(col(id_col), *[col(c).alias(n) for c, n in zip(columns, names)])
     parts = tiled(slim, [], id_col, slim.count(), kernel, "s double, n long")
     return parts.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean_dist"), F.sum("n").alias("n_pairs"))

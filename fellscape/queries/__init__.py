@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fellscape.queries.registry import QUERIES, SQL
 
-MODULES = ["cleaning", "sampling", "selection", "functions", "landscape"]
+MODULES = ["cleaning", "sampling", "selection", "functions", "landscape", "analysis"]
 
 
 def load() -> None:
