@@ -46,27 +46,28 @@ def ward_rounds(df: DataFrame, columns: Sequence[str], leaf: str) -> DataFrame:
     """
     clusters = cut(df.select(col(leaf).cast("long").alias("leaf"), F.lit(1).cast("long").alias("size"),
                              F.array(*[col(c).cast("double") for c in columns]).alias("centre")))
-    n, done, merges = clusters.count(), 0, None
+    n, d, done, merges = clusters.count(), len(columns), 0, None
     while n > 1:
         best = cut(_nearest(clusters, n))
         mutual = (best.alias("p").join(best.alias("q"), (F.col("p.other") == F.col("q.leaf")) & (F.col("q.other") == F.col("p.leaf"))
                                        & (F.col("p.leaf") < F.col("q.leaf")))
                   .select(F.col("p.leaf").alias("leaf_a"), F.col("p.other").alias("leaf_b"), F.col("p.height").alias("height")))
-        named = clusters.join(mutual.select(F.col("leaf_b").alias("leaf"), F.col("leaf_a").alias("into")), "leaf", "left").withColumn(
-            "into", F.coalesce("into", "leaf"))
+        named = clusters.join(mutual.select(F.col("leaf_b").alias("leaf"), F.col("leaf_a").alias("into"), "height"), "leaf", "left")
         weighted = F.transform("centre", lambda v: v * F.col("size"))
-        d = len(columns)
-        joined = (named.withColumn("w", weighted).groupBy("into").agg(
-            F.sum("size").alias("size"), *[F.sum(F.get("w", F.lit(j))).alias(f"s{j}") for j in range(d)])
-            .select(F.col("into").alias("leaf"), "size", F.array(*[F.col(f"s{j}") / F.col("size") for j in range(d)]).alias("centre")))
+        joined = (named.withColumn("into", F.coalesce("into", "leaf")).withColumn("w", weighted).groupBy("into").agg(
+            F.sum("size").alias("size"), F.max("height").alias("height"), F.max(F.when(F.col("leaf") != F.col("into"), F.col("leaf"))).alias("leaf_b"),
+            *[F.sum(F.get("w", F.lit(j))).alias(f"s{j}") for j in range(d)])
+            .select(F.col("into").alias("leaf"), "size", "leaf_b", "height",
+                    F.array(*[F.col(f"s{j}") / F.col("size") for j in range(d)]).alias("centre")))
         clusters = cut(joined)
-        new = cut(mutual.join(clusters.select(F.col("leaf").alias("leaf_a"), "size"), "leaf_a")
-                  .select(F.lit(done).alias("round"), "leaf_a", "leaf_b", "height", "size"))
+        new = (clusters.where("leaf_b IS NOT NULL")
+               .select(F.lit(done).alias("round"), F.col("leaf").alias("leaf_a"), "leaf_b", "height", "size"))
         merges = new if merges is None else merges.unionAll(new)
+        clusters = clusters.select("leaf", "size", "centre")
         n, done = clusters.count(), done + 1
     if merges is None:
         raise ValueError("clustering needs at least two rows")
-    return merges
+    return cut(merges)
 
 
 def ward_linkage(df: DataFrame, columns: Sequence[str], leaf: str) -> DataFrame:

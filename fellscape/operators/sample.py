@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fellscape.functions.columns import col, key_hash
 
-PREFIX = 3  # hex digits looked at per refinement: 4096 buckets per repeat
+PREFIX = 4  # hex digits of a bucket: 65,536 buckets per repeat
 
 
 def expected_sample_size(n: Column, ratio: float) -> Column:
@@ -31,23 +31,18 @@ def _cutting_bucket(counts: DataFrame, bucket: str, need: Column) -> DataFrame:
 def subsample(df: DataFrame, id_col: str, ratio: float = 0.8, repeats: int = 2, seed: int = 42) -> DataFrame:
     """``ceil(n * ratio)`` rows per repeat: those with the smallest seeded hash of their id.
 
-    The largest chosen hash is found by two rounds of bucket counts and a sort of the rows of one
-    bucket in 4096 ** 2, then every row is kept or dropped by comparing its hash: the table itself
-    is never shuffled. The broadcast tables hold one row per repeat. The same rows are chosen for
-    every response, since the hash knows only seed, repeat and id.
+    The largest chosen hash is found by bucket counts and a sort of the rows of one bucket in
+    16 ** 4, then every row is kept or dropped by comparing its hash: the table itself is never
+    shuffled. The broadcast tables hold one row per repeat. The same rows are chosen for every
+    response, since the hash knows only seed, repeat and id.
     """
     check_subsample(ratio, repeats)
     rep = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
     hashed = lambda d: d.withColumn("_h", key_hash((F.lit(seed) + F.col("rep")).cast("string"), col(id_col)))
-    keyed = hashed(df.select(rep, col(id_col))).select(
-        "rep", id_col, "_h", F.substring("_h", 1, PREFIX).alias("_p1"), F.substring("_h", PREFIX + 1, PREFIX).alias("_p2"))
-
-    whole = W.partitionBy("rep")
-    first = _cutting_bucket(keyed.groupBy("rep", "_p1").agg(F.count(F.lit(1)).alias("_n")), "_p1",
-                            expected_sample_size(F.sum("_n").over(whole), ratio))
-    inside = keyed.join(F.broadcast(first), ["rep", "_p1"])
-    second = _cutting_bucket(inside.groupBy("rep", "_p2", "_left").agg(F.count(F.lit(1)).alias("_n")), "_p2", F.col("_left"))
-    last = (inside.drop("_left").join(F.broadcast(second), ["rep", "_p2"])
+    keyed = hashed(df.select(rep, col(id_col))).select("rep", id_col, "_h", F.substring("_h", 1, PREFIX).alias("_p"))
+    counts = keyed.groupBy("rep", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    need = expected_sample_size(F.sum("_n").over(W.partitionBy("rep")), ratio)
+    last = (keyed.join(F.broadcast(_cutting_bucket(counts, "_p", need)), ["rep", "_p"])
             .withColumn("_rank", F.row_number().over(W.partitionBy("rep").orderBy("_h", id_col)))
             .where("_rank = _left").select("rep", F.col("_h").alias("_top"), F.col(id_col).alias("_top_id")))
     chosen = hashed(df.select(rep, "*")).join(F.broadcast(last), "rep")

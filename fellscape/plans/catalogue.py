@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fellscape.functions.columns import col, unit_hash
 from fellscape.functions.simplify import simplify, to_text
@@ -110,12 +110,12 @@ def inject_difficulty(rpn: Column, kind: Column) -> Column:
             .otherwise(inject_linkage(rpn, kind)))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def simplified(rpn: pd.Series) -> pd.Series:
     return rpn.map(simplify)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def infix(rpn: pd.Series, consts: pd.Series) -> pd.Series:
     return pd.Series([to_text(r, c) for r, c in zip(rpn, consts)])
 

@@ -9,6 +9,7 @@ from fellscape.operators import design, sample
 from fellscape.operators.rescale import Bounds
 from fellscape.queries import views as v
 from fellscape.queries.registry import add, query
+from fellscape.session import spread
 
 NAMES = ["x1", "x2", "x3"]
 UNIT = "/ 281474976710656.0::DOUBLE"
@@ -19,7 +20,7 @@ def unit_sql(text: str) -> str:
 
 
 def _lines(spark, sf):
-    return v.doe_lineitem(spark, sf).select("sample_id", "y1")
+    return spread(v.doe_lineitem(spark, sf).select("sample_id", "y1"), "sample_id")
 
 
 add("subsample", lambda spark, sf: sample.subsample(_lines(spark, sf), "sample_id", 0.8, 2, 42).select("rep", "sample_id", "y1"),
