@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,11 +12,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fellscape.functions.columns import col
 from fellscape.operators.tables import to_long
 from fellscape.operators.tiles import distances, tiled
+from fellscape.session import BROADCAST_ROWS, cut
 
 TILE = 1024
+BLOCKS_UP_TO = 20_000  # rows for which comparing all blocks is cheaper than rounds of joins
+CELL_DIMENSIONS = 3  # a point has 3 ** d cells around it
+CROWDED = 256  # rows of the fullest cell at which the search starts
+MAX_LEVEL = 40
+FEW = 500  # open searches that are finished in one last round
 
 
-def neighbour_blocks(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str) -> DataFrame:
+def neighbour_blocks(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int,
+                     id_col: str = "sample_id") -> DataFrame:
     """``(rep, label, sample_id, nn, nb, nb_id)`` by exact search over blocks of rows.
 
     A block pair returns one candidate per point and response; the nearest of the candidates is
@@ -66,7 +74,7 @@ def correlation(a: str | Column, b: str | Column) -> Column:
 def nbc_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id",
                  found: DataFrame | None = None) -> DataFrame:
     """``nbc.*`` of every response; points without a better one are left out of the ``nb`` statistics."""
-    found = found if found is not None else neighbour_search(points, x, labels, n, id_col)
+    found = found if found is not None else cut(neighbour_search(points, x, labels, n, id_col))
     ratio = F.try_divide(F.col("nn"), F.col("nb"))
     shape = found.groupBy("rep", "label").agg(
         F.try_divide(F.stddev_samp("nn"), F.stddev_samp("nb")).alias("nbc.nn_nb.sd_ratio"),
@@ -83,5 +91,76 @@ def nbc_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], n:
             .select("rep", "label", "feature", "value"))
 
 
-def neighbour_search(points, x, labels, n, id_col="sample_id"):
+def neighbour_search(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id") -> DataFrame:
+    """Neighbours by cells in few dimensions, by blocks where blocks are cheap or cells would be too many."""
+    if n > BLOCKS_UP_TO and len(x) <= CELL_DIMENSIONS:
+        return neighbour_cells(points, x, labels, n, id_col)
     return neighbour_blocks(points, x, labels, n, id_col)
+
+
+def neighbour_cells(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id") -> DataFrame:
+    """The same neighbours from cells that grow until every search is settled.
+
+    A point searches its own and the adjoining cells. A neighbour found within one cell width is
+    the nearest, since points beyond the adjoining cells are farther away; other searches go on
+    with cells four times as wide. Searches left open at width ``w`` have no neighbour within ``w``, so
+    they lie ``w`` apart and only a few fit into the next cell: the work of a round stays
+    proportional to the number of points. Points at the minimum have no better one and do not
+    search.
+    """
+    d = len(x)
+    labels, xs = list(labels), [f"_x{j}" for j in range(d)]
+    base = points.select("rep", col(id_col).alias("id"), *[col(c).alias(a) for c, a in zip(x, xs)],
+                         F.array(*[col(c) for c in labels]).alias("ys"))
+    row = base.agg(*[f(c).alias(f"{c}_{name}") for c in xs for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    lows = [row[f"{c}_lo"] for c in xs]
+    extent = max(max(row[f"{c}_hi"] - row[f"{c}_lo"] for c in xs), 1e-300) * (1 + 1e-9)
+
+    def cells(level):
+        w = extent / 2 ** level
+        return [F.floor((F.col(c) - F.lit(lo)) / F.lit(w)).cast("long") for c, lo in zip(xs, lows)]
+
+    def crowd(level):
+        return base.groupBy("rep", *cells(level)).count().agg(F.max("count")).first()[0]
+
+    level = max(0, int(math.log2(max(n, 2)) / d))
+    while level < MAX_LEVEL and crowd(level) > CROWDED:
+        level += 2
+    floor_y = base.groupBy("rep").agg(*[F.min(F.get("ys", F.lit(k))).alias(f"m{k}") for k in range(len(labels))])
+    searches = F.array(F.struct(F.lit(-1).alias("k"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("m")), *[
+        F.struct(F.lit(k).alias("k"), F.get("ys", F.lit(k)).alias("y"), F.col(f"m{k}").alias("m")) for k in range(len(labels))])
+    open_ = (base.join(F.broadcast(floor_y), "rep").select("rep", "id", *xs, F.explode(searches).alias("s"))  # one row per repeat
+             .select("rep", "id", *xs, "s.k", "s.y", "s.m").where("k < 0 OR y > m").drop("m"))
+    left, settled = None, []
+    while True:
+        keys = [f"_c{j}" for j in range(d)]
+        asked = open_.select("*", *[c.alias(a) for c, a in zip(cells(level), keys)])
+        for a in keys:
+            asked = asked.select(*[c for c in asked.columns if c != a], F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1)).alias(a))
+        asked = asked.select("rep", "id", "k", "y", *xs, *keys)
+        if left is not None and left * 3 ** d <= BROADCAST_ROWS:
+            asked = F.broadcast(asked)  # counted in the round before
+        other = base.select("rep", F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in xs], "ys",
+                            *[c.alias(a) for c, a in zip(cells(level), keys)])
+        fits = F.when(F.col("k") < 0, F.col("other") != F.col("id")).otherwise(F.get("ys", F.greatest("k", F.lit(0))) < F.col("y"))
+        gap = F.sqrt(sum([(F.col(c) - F.col(f"o{c}")) ** 2 for c in xs[1:]], (F.col(xs[0]) - F.col(f"o{xs[0]}")) ** 2))
+        found = (other.join(asked, ["rep", *keys]).where(fits)
+                 .groupBy("rep", "k", "id").agg(F.min(F.struct(gap.alias("dist"), "other")).alias("b")))
+        certain = F.lit(True) if level == 0 else F.col("b.dist") <= F.lit(extent / 2 ** level)
+        done = cut(found.where(certain).select("rep", "k", "id", "b.dist", "b.other"))
+        settled.append(done)
+        if level == 0:
+            break
+        open_ = cut(open_.join(done.select("rep", "k", "id"), ["rep", "k", "id"], "left_anti"))
+        left = open_.count()
+        if left == 0:
+            break
+        level = 0 if left <= FEW else max(0, level - 2)
+    rows = settled[0]
+    for more in settled[1:]:
+        rows = rows.unionAll(more)
+    names = F.array(*[F.lit(c) for c in labels])
+    nearest = rows.where("k < 0").select("rep", "id", F.col("dist").alias("nn"))
+    better = rows.where("k >= 0").select("rep", "id", F.get(names, F.col("k")).alias("label"), F.col("dist").alias("nb"), F.col("other").alias("nb_id"))
+    return (base.select("rep", "id", F.explode(names).alias("label")).join(nearest, ["rep", "id"], "left")
+            .join(better, ["rep", "id", "label"], "left").select("rep", "label", F.col("id").alias(id_col), "nn", "nb", "nb_id"))

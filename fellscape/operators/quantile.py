@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from fellscape.functions.columns import col
 from fellscape.session import broadcast_checked
 
-ACCURACY = 10_000  # the sketch errs by at most n / ACCURACY ranks
+ACCURACY = 50_000  # the sketch errs by at most n / ACCURACY ranks
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],

@@ -12,9 +12,6 @@ from fellscape.operators.clean import clean_table, drop_rows_any_null
 from fellscape.operators.correlate import drop_correlated
 from fellscape.session import broadcast_checked, cut
 
-#: Benchmark functions are numbered 1 to 24, so a table of their means has at most 24 rows.
-MAX_FUNCTIONS = 24
-
 
 def select_shared_features(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Long feature rows whose feature is in ``kept``."""
@@ -83,15 +80,15 @@ def standardize_populations(problem: DataFrame, bbob: DataFrame, rgf: DataFrame,
 def nearest_benchmark(problem: DataFrame, bbob: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
     """The ``k`` benchmark functions closest to each problem.
 
-    The benchmark side has at most 24 rows per feature, so it is broadcast and every problem cell
-    meets at most 24 partners before the sum.
+    The benchmark side has at most 24 rows per feature: it is broadcast once its size is checked,
+    and every problem cell meets at most 24 partners before the sum.
     """
     def cells(df, label):
         return (df.unpivot([col("label")], [col(c) for c in columns], "feature", "value")
                 .withColumnRenamed("label", label))
 
     bench = cells(bbob, "benchmark").withColumnRenamed("value", "other")
-    gaps = (cells(problem, "label").join(F.broadcast(bench), "feature")
+    gaps = (cells(problem, "label").join(broadcast_checked(bench), "feature")
             .groupBy("label", "benchmark").agg(F.sqrt(F.sum((F.col("value") - F.col("other")) ** 2)).alias("dist")))
     rank = F.row_number().over(W.partitionBy("label").orderBy("dist", "benchmark"))
     return gaps.withColumn("rank", rank).where(F.col("rank") <= k)

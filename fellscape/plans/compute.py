@@ -15,6 +15,8 @@ from fellscape.plans.catalogue import first_n_valid
 from fellscape.plans.study import Study
 from fellscape.session import cut, spread
 
+SMALL = 20_000_000  # rows below which a shuffle may leave one partition, to be dealt out again
+
 
 def compute_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], bounds: Bounds, reps: Sequence[int], n: int,
                      id_col: str = "sample_id", blocks: int = 2,
@@ -78,11 +80,12 @@ def compute_features_many(study: Study, doe: DataFrame) -> Computed:
     A function that cannot be characterised has NULL features and a line in ``status``; the
     others go on.
     """
-    rescale.validate_doe(doe, study.bounds, study.responses, study.target, study.normalize_x)
+    checked = rescale.validate_doe(doe, study.bounds, study.responses, study.target, study.normalize_x)
+    small = checked.first()["n_rows"] <= SMALL
     keep = [study.id_col, *study.x, *study.responses]
     clean = rescale.preprocess(doe.select(*[col(c) for c in keep]), study.bounds, study.id_col,
                                study.target if study.normalize_x else None)
-    points = cut(spread(clean, study.id_col))
+    points = cut(spread(clean, study.id_col) if small else clean)
     problems = [f"problem_{c}" for c in study.responses]
     wide = points.select(study.id_col, *[col(c) for c in study.x], *[col(c).alias(l) for c, l in zip(study.responses, problems)])
     labels, catalogue = list(problems), None

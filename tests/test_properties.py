@@ -226,6 +226,23 @@ def test_neighbours(spark, cloud):
             assert r["nb"] is None if np.isinf(better.min()) else (r["nb"] == pytest.approx(better.min()) and r["nb_id"] == better.argmin())
 
 
+def test_cells_agree_with_blocks(spark, monkeypatch):
+    """A third of the points in one tiny cluster, a plateau in the response, several minima."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.uniform(-5, 5, (400, 2)), 1.0 + 1e-3 * rng.uniform(0, 1, (200, 2))])
+    y = np.round((x ** 2).sum(axis=1), 1)
+    y[:5] = y.min()
+    rows = [(0, i, float(a), float(b), float(c), float(np.sin(a))) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "rep int, sample_id long, x1 double, x2 double, a double, b double").cache()
+    monkeypatch.setattr(neighbours, "CROWDED", 20)
+    monkeypatch.setattr(neighbours, "FEW", 10)
+    order = lambda d: sorted(((r["label"], r["sample_id"], r["nn"], r["nb"] or -1.0, r["nb_id"]) for r in d.collect()), key=str)
+    got, want = (order(f(df, X, ["a", "b"], 600)) for f in (neighbours.neighbour_cells, neighbours.neighbour_blocks))
+    assert len(got) == len(want) == 1200
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:4], rel=1e-12) and g[4] == w[4]
+
+
 def test_blocks_agree_with_one_block(spark, cloud, monkeypatch):
     df, x, y = cloud
     want = {(r["label"], r["feature"]): r["value"] for r in dispersion.dispersion_features(df, X, ["a", "b"], Bounds.cube(X), 300, [0]).collect()}
