@@ -17,10 +17,14 @@ LEFT_OUT = ["pca.expl_var.cov_x", "pca.expl_var.cor_x", "pca.expl_var_PC1.cov_x"
             "pca.expl_var.cov_init", "pca.expl_var.cor_init"]
 
 
+def without_left_out(features: DataFrame) -> DataFrame:
+    """Infinities to NULL, principal-component features left out."""
+    return clean.drop_cols_by_regex(clean.inf_to_null(features), LEFT_OUT)
+
+
 def merge_populations(problem: DataFrame, bbob: DataFrame, rgf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One column set for all, infinities to NULL, principal-component features left out, split again."""
-    merged = tables.union_populations([problem, bbob, rgf])
-    merged = clean.drop_cols_by_regex(clean.inf_to_null(merged), LEFT_OUT)
+    merged = without_left_out(tables.union_populations([problem, bbob, rgf]))
     return tuple(tables.split_population(merged, kind) for kind in ("problem", "bbob", "rgf"))
 
 
@@ -63,7 +67,8 @@ def embed_populations(s: Standardized) -> DataFrame:
 
 def analyze(features: DataFrame, columns: Sequence[str], k: int = 3) -> Analysis:
     """From a wide feature table (``label, kind, fid`` and features) to distances, clusters and an embedding."""
-    kinds = merge_populations(*[features.where(F.col("kind") == kind) for kind in ("problem", "bbob", "rgf")])
+    merged = cut(without_left_out(features))  # one row per label and repeat
+    kinds = [tables.split_population(merged, kind) for kind in ("problem", "bbob", "rgf")]
     used = [c for c in columns if c in kinds[0].columns]
     s = standardize.standardize_populations(*kinds, used)
     s = replace(s, problem=cut(s.problem), bbob=cut(s.bbob), rgf=cut(s.rgf))

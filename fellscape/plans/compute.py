@@ -109,4 +109,4 @@ def pivot_features(features: DataFrame) -> tuple[DataFrame, list[str]]:
     """One row per label and repeat, one column per feature (their list is read from the table)."""
     names = sorted(r["feature"] for r in features.select("feature").distinct().collect())
     wide = (features.groupBy("label", "kind", "fid", "iid", "rep").pivot("feature", names).agg(F.first("value")))
-    return wide, names
+    return cut(wide), names
