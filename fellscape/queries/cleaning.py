@@ -92,17 +92,19 @@ add("read_features", lambda spark, sf: _long_out(store.read_features(spark, stor
 
 
 def _asked(spark, sf):
-    """Labels asked for: every brand as a problem, a benchmark function or a generated one."""
+    """Labels asked for: every brand, with its first type, as a problem, a benchmark or a generated function."""
     n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
-    return (v.table(spark, sf, "part").select(n.alias("n")).distinct()
-            .select(F.when(F.col("n") <= 20, tables.benchmark_label("n", F.lit(6)))
+    k = F.array_position(F.array(*[F.lit(t) for t in v.TYPES]), F.col("p_type"))
+    return (v.table(spark, sf, "part").groupBy(n.alias("n")).agg(F.min(k).alias("k"))
+            .select(F.when(F.col("n") <= 20, tables.benchmark_label("n", "k"))
                     .when(F.col("n") <= 22, tables.problem_label(F.col("n").cast("string")))
-                    .otherwise(tables.generated_label(F.col("n") - 20)).alias("label")))
+                    .otherwise(tables.generated_label(F.col("n") - 20)).alias("label")).distinct())
 
 
-ASKED_SQL = """asked AS (SELECT DISTINCT CASE WHEN n <= 20 THEN concat('bbob_f', n, '_ins6')
+ASKED_SQL = """asked AS (SELECT DISTINCT CASE WHEN n <= 20 THEN concat('bbob_f', n, '_ins', k)
   WHEN n <= 22 THEN concat('problem_', n) ELSE concat('rgf', n - 20) END AS label
-  FROM (SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS n FROM part))"""
+  FROM (SELECT CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS n,
+    min(list_position(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'], p_type)) AS k FROM part GROUP BY 1))"""
 
 
 @query("read_features_tolerant", f"""WITH {LONG_SQL}, {ASKED_SQL}

@@ -11,6 +11,7 @@ from fellscape.operators.rescale import Bounds, rescale_affine
 PART_BOUNDS = Bounds(("x1", "x2"), (1.0, 900.0), (50.0, 1000.0))
 LINE_BOUNDS = Bounds(("x1", "x2", "x3"), (1.0, 0.0, 0.0), (50.0, 0.1, 0.08))
 RESPONSES = ["y1", "y2"]
+TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -74,8 +75,7 @@ def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
         _mean("l_discount").alias("disc_mean"), F.stddev_pop("l_discount").alias("disc_sd"),
         _mean("l_tax").alias("tax_mean"), F.stddev_pop("l_tax").alias("tax_sd"))
     n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
-    types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    k = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("p_type")).cast("int")
+    k = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("p_type")).cast("int")
     label = (F.when(n <= 20, F.format_string("bbob_f%d_ins%d", n, k))
              .when(n <= 22, F.concat(F.lit("problem_"), n.cast("string")))
              .otherwise(F.format_string("rgf%d", n - 22)))
