@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,10 +12,15 @@ BROADCAST_ROWS = 200_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a folder of our own only where none is set."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder named by the cluster in ``spark.checkpoint.dir``.
+
+    Only where none is set, and only on a single machine, a folder beside the warehouse is taken.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="fellscape-", dir="/tmp")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
+        if folder.startswith(("file:", "/")) and not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"{folder} is local to this machine; set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
