@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are maximal runs without space, tab, newline, vertical tab, form feed and carriage return,
@@ -44,7 +45,7 @@ def binary_rows(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int)
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` in each; no row is dropped."""
     for batch in batches:
         start, size = 0, 0
-        lengths = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        lengths = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
         for i, n in enumerate(lengths):
             if i > start and size + n > max_bytes:
                 yield batch.slice(start, i - start)
