@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fellscape.llm import chat, decontaminate, katz, linededup, mixing, quality, reputation, sharding, simhash, toxicity
 from fellscape.llm.common import table
 
@@ -72,3 +73,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hypergeometric_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
