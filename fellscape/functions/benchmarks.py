@@ -286,11 +286,8 @@ class Builder:
     def f21(self):
         height, scale, centre, _ = gallagher(self.fid, self.iid, self.d)
         turned = self.matrix(self.rot2(), self.x)
-        peaks = []
-        for h, s, c in zip(height, scale, centre):
-            gap = " + ".join(f"{num(-a / (2 * self.d))} * ({v} - {num(y)}) * ({v} - {num(y)})" for a, v, y in zip(s, turned, c))
-            peaks.append(f"{num(h)} * exp({gap})")
-        best = self.p.bind(f"(10e0 - greatest({', '.join(peaks)}))")
+        rows = [(h, [-a / (2 * self.d) for a in s], c) for h, s, c in zip(height, scale, centre)]
+        best = self.p.bind(f"(10e0 - {self.p.dialect.highest(rows, turned)})")
         return f"power({self.osz([best])[0]}, 2e0) + {self.pen(1)}"
 
     def f22(self):

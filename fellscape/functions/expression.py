@@ -18,6 +18,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import Column, functions as F
+
 from fellscape.functions.program import Program, num
 
 # Tokens of the function language.
@@ -169,3 +171,9 @@ def add_expression(prog: Program, x: Sequence[str], name: str, rpn: Sequence[int
     y = prog.bind(compiler.reduce(33, v)[0] if len(v) > 1 else v[0])
     prog.output(name, f"CASE WHEN abs({y}) < {num(SMALL)} THEN 0e0 ELSE {y} + 0e0 END")
     return name
+
+
+def unknown_tokens(rpn: Column) -> Column:
+    """Tokens of a list that the language lacks, which the compiler refuses; negative ones are literals."""
+    known = [F.lit(t) for t in (*OPERANDS, *BINARY, *UNARY, *REDUCERS)]
+    return F.filter(rpn, lambda t: (t >= 0) & ~t.isin(*known))

@@ -8,7 +8,7 @@ computed once per row; the same text runs in any SQL engine with the usual maths
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,16 +27,34 @@ def num(v: float) -> str:
     return f"({text})" if v < 0 else text
 
 
+def unrolled_highest(peaks: Sequence[tuple], x: Sequence[str]) -> str:
+    """Largest of the peaks ``h * exp(sum(b * (x - y) ** 2))``, written out peak by peak."""
+    texts = []
+    for h, b, y in peaks:
+        gap = " + ".join(f"{num(f)} * ({v} - {num(c)}) * ({v} - {num(c)})" for f, v, c in zip(b, x, y))
+        texts.append(f"{num(h)} * exp({gap})")
+    return f"greatest({', '.join(texts)})"
+
+
+def folded_highest(peaks: Sequence[tuple], x: Sequence[str]) -> str:
+    """The same over a literal array: the generated code does not grow with the number of peaks."""
+    rows = ", ".join(f"named_struct('h', {num(h)}, 'b', array({', '.join(map(num, b))}), 'y', array({', '.join(map(num, y))}))"
+                     for h, b, y in peaks)
+    gap = " + ".join(f"p.b[{j}] * ({v} - p.y[{j}]) * ({v} - p.y[{j}])" for j, v in enumerate(x))
+    return f"array_max(transform(array({rows}), p -> p.h * exp({gap})))"
+
+
 @dataclass
 class Dialect:
     """Spellings that differ between SQL engines."""
 
     rint: str = "rint({0})"
     log_abs: str = "coalesce(ln(abs({0})), double('-Infinity'))"
+    highest: Callable[[Sequence[tuple], Sequence[str]], str] = staticmethod(folded_highest)
 
 
 SPARK = Dialect()
-DUCKDB = Dialect(rint="round_even({0}, 0)", log_abs="ln(abs({0}))")
+DUCKDB = Dialect(rint="round_even({0}, 0)", log_abs="ln(abs({0}))", highest=unrolled_highest)
 
 
 @dataclass

@@ -54,15 +54,16 @@ def drop_rows_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def dedup_keep_first(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """One row per distinct input point, the one with the smallest ``order``.
+    """One row per distinct input point, the one with the smallest ``order``, which must be unique.
 
-    A hash aggregate with map-side combine: a point copied a billion times is reduced before
-    the shuffle, where a window would sort all its copies in one task.
+    One aggregate with map-side combine: a point copied a billion times is reduced before the
+    shuffle, where a window would sort all its copies in one task. Every column is followed on its
+    own, so that numbers stay in hash aggregation; a struct or text would make Spark sort.
     """
     rest = [c for c in df.columns if c not in columns]
     first = df.groupBy(*[col(c) for c in columns]).agg(
-        F.min_by(F.struct(*[col(c) for c in rest]), col(order)).alias("_first"))
-    return first.select(*[col(c) if c in columns else F.col("_first").getField(c).alias(c) for c in df.columns])
+        *[(F.min(col(c)) if c == order else F.min_by(col(c), col(order))).alias(c) for c in rest])
+    return first.select(*[col(c) for c in df.columns])
 
 
 def dup_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

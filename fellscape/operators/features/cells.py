@@ -15,12 +15,10 @@ from fellscape.operators.rescale import Bounds
 
 
 def cell_number(x: Sequence[str], bounds: Bounds, blocks: int) -> Column:
-    """One number per cell; points on the upper border belong to the last block."""
-    number = F.lit(0).cast("long")
-    for name, lo, hi in zip(x, bounds.lower, bounds.upper):
-        block = F.floor((col(name) - F.lit(lo)) / F.lit(hi - lo) * blocks)
-        number = number * blocks + F.greatest(F.lit(0), F.least(F.lit(blocks - 1), block))
-    return number
+    """The block numbers of a cell as one text, for any number of inputs; the upper border belongs to the last block."""
+    numbers = [F.greatest(F.lit(0), F.least(F.lit(blocks - 1), F.floor((col(name) - F.lit(lo)) / F.lit(hi - lo) * blocks)))
+               for name, lo, hi in zip(x, bounds.lower, bounds.upper)]
+    return F.concat_ws(",", *[n.cast("string") for n in numbers])
 
 
 def cell_slopes(points: DataFrame, x: Sequence[str], labels: Sequence[str], bounds: Bounds, blocks: int = 2) -> DataFrame:
@@ -42,7 +40,7 @@ def cell_slopes(points: DataFrame, x: Sequence[str], labels: Sequence[str], boun
             yield pd.DataFrame(out, columns=["rep", "cell", "label", "b"])
 
     return gram(celled, ["rep", "cell"], [*x, *labels]).mapInPandas(
-        slopes, "rep int, cell long, label string, b array<double>")
+        slopes, "rep int, cell string, label string, b array<double>")
 
 
 def _standard(vectors: str, d: int) -> Column:

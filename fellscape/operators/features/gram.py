@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from fellscape.functions.columns import col
 
 FLUSH = 4_000_000  # cells of partial matrices a task keeps before it writes them out
-SALTS = 64
+TREE = (4096, 64)  # groups of each merging round, so that no task stacks the matrices of all tasks
 NATIVE = 12  # columns up to which the sums are plain aggregates
 
 
@@ -57,9 +57,13 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     slim = df.select(*[col(k) for k in keys], *[col(c).cast("double").alias(a) for c, a in zip(columns, names)])
     parts = slim.mapInPandas(partial, schema)
     group = [col(k) for k in keys]
-    some = (parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-            .groupBy(*group, "_salt").applyInPandas(merge, schema))
-    return some.groupBy(*group).applyInPandas(merge, schema)
+    def merge_to(groups):
+        return lambda key, pdf: merge(key, pdf).assign(_salt=int(key[-1]) % groups)
+
+    parts = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(TREE[0])))
+    for groups in TREE[1:]:
+        parts = parts.groupBy(*group, "_salt").applyInPandas(merge_to(groups), f"{schema}, _salt int")
+    return parts.groupBy(*group, "_salt").applyInPandas(merge, schema).groupBy(*group).applyInPandas(merge, schema)
 
 
 def native_gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -13,21 +13,20 @@ from fellscape.operators.features import ROWS
 from fellscape.operators.features.gram import centred, gram, solve
 from fellscape.operators.rescale import Bounds
 
-MAX_REGRESSORS = 500
 EXPLAINED = 0.9
 
 
-def regressors(d: int) -> tuple[list[tuple[int, ...]], dict[str, list[int]]]:
+def regressors(d: int, n: int | None = None) -> tuple[list[tuple[int, ...]], dict[str, list[int]]]:
     """Products of inputs, as tuples of input numbers, and the positions each model uses.
 
-    The full model has x, x squared and every product of two of these; it is left out when it
-    would have more than ``MAX_REGRESSORS`` columns.
+    The full model has x, x squared and every product of two of these. With ``n`` rows at most it
+    is left out only where it cannot be fitted, having as many columns as there are rows to fit.
     """
     simple = [(i,) for i in range(d)]
     square = [(i, i) for i in range(d)]
     crossed = [(i, j) for i, j in combinations(range(d), 2)]
     full = [tuple(sorted(a + b)) for a, b in combinations(simple + square, 2)]
-    wide = 2 * d + len(full) <= MAX_REGRESSORS
+    wide = n is None or len({*simple, *square, *full}) < n - 1
     names = simple + square + (full if wide else crossed)
     at = {}
     for k, name in enumerate(names):
@@ -100,10 +99,13 @@ def pca_rows(n, c, cols, half, y):
 
 
 def linear_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], bounds: Bounds,
-                    families: Sequence[str] = ("meta", "pca")) -> DataFrame:
-    """``ela_meta`` and ``pca`` features of all responses from one matrix of products per repeat."""
+                    families: Sequence[str] = ("meta", "pca"), n: int | None = None) -> DataFrame:
+    """``ela_meta`` and ``pca`` features of all responses from one matrix of products per repeat.
+
+    ``n`` is the largest number of rows of a repeat, where it is known.
+    """
     d, labels = len(x), list(labels)
-    names, models = regressors(d)
+    names, models = regressors(d, n)
     lo, hi = np.array(bounds.lower), np.array(bounds.upper)
     centre, half = (lo + hi) / 2, (hi - lo) / 2
     p = len(names)

@@ -70,13 +70,15 @@ def block_summaries(placed: DataFrame, x: Sequence[str], labels: Sequence[str],
     """``(rep, label, block, e, ...)``: symbol counts of a stretch of the walk, per threshold.
 
     Each block also gets the next two points, so that no step or pair of steps falls between blocks.
+    A block with a step of length zero or a missing response says so in ``bad``; one such step leaves
+    the response without a walk.
     """
     labels, xs = list(labels), [f"_x{j}" for j in range(len(x))]
     block = F.floor(F.col("pos") / BLOCK).cast("int")
     both = F.when((F.col("pos") % BLOCK < 2) & (F.col("pos") >= BLOCK), F.array(block, block - 1)).otherwise(F.array(block))
     rows = placed.select("rep", "pos", *[col(c).alias(a) for c, a in zip(x, xs)],
                          *[col(c).alias(f"_y{k}") for k, c in enumerate(labels)], F.explode(both).alias("block"))
-    schema = ("rep int, label string, block int, e int, first int, last int, changes long, steps long, "
+    schema = ("rep int, label string, block int, e int, first int, last int, changes long, steps long, bad int, "
               + ", ".join(f"p{k} long" for k in range(len(SYMBOLS))))
 
     def summarise(key, pdf):
@@ -92,12 +94,14 @@ def block_summaries(placed: DataFrame, x: Sequence[str], labels: Sequence[str],
                 break
             r = np.diff(pdf[f"_y{k}"].to_numpy(float)) / length
             if not np.all(np.isfinite(r)):
-                continue  # a constant or incomplete response has no walk
+                out.append(pd.DataFrame({"rep": rep, "label": label, "block": block, "e": [0], "first": 0, "last": 0, "changes": 0,
+                                         "steps": 0, "bad": 1, **{f"p{i}": 0 for i in range(len(SYMBOLS))}}))
+                continue
             sign, known = np.sign(r).astype(np.int64), np.searchsorted(EPS, np.abs(r), side="left")
             first, last, changes = symbol_changes(sign[:steps], known[:steps])
             pairs = pair_counts(sign[:steps + 1], known[:steps + 1])
             out.append(pd.DataFrame({"rep": rep, "label": label, "block": block, "e": np.arange(len(EPS)), "first": first,
-                                     "last": last, "changes": changes, "steps": steps,
+                                     "last": last, "changes": changes, "steps": steps, "bad": 0,
                                      **{f"p{i}": pairs[i] for i in range(len(SYMBOLS))}}))
         names = [f.split()[0] for f in schema.split(", ")]
         return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame(columns=names)
@@ -114,22 +118,25 @@ def threshold_curves(blocks: DataFrame) -> DataFrame:
     joint = F.when((F.col("first") != 0) & before.isNotNull() & (before != F.col("first")), 1).otherwise(0)
     sums = blocks.withColumn("_joint", joint).groupBy("rep", "label", "e").agg(
         F.sum("steps").alias("steps"), F.sum(F.col("changes") + F.col("_joint")).alias("changes"),
-        F.max(F.abs("first")).alias("any"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(SYMBOLS))])
+        F.max(F.abs("first")).alias("any"), F.max("bad").alias("bad"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(len(SYMBOLS))])
     terms = []
     for k in range(len(SYMBOLS)):
-        p = F.try_divide(F.col(f"p{k}"), F.col("steps") - 1)
+        p = F.try_divide(F.col(f"p{k}"), F.col("steps") - 1)  # NULL where bad blocks left nothing
         terms.append(F.when(p > 0, -p * F.ln(p) / float(np.log(6))).otherwise(0.0))
     h = terms[0]
     for t in terms[1:]:
         h = h + t
     eps = F.get(F.array(*[F.lit(float(v)) for v in EPS]), F.col("e"))
     return sums.select("rep", "label", "e", eps.alias("eps"), h.alias("h"),
-                       ((F.col("changes") + F.col("any")) / F.col("steps")).alias("m"))
+                       F.try_divide(F.col("changes") + F.col("any"), F.col("steps")).alias("m"), "bad")
 
 
 def walk_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id",
                   seed: int = SEED) -> DataFrame:
-    """``ic.*`` of every response. The walk is shared by the responses: it depends on ids only."""
+    """``ic.*`` of every response. The walk is shared by the responses: it depends on ids only.
+
+    A response with a missing value, or a walk with a step of length zero, has NULL features.
+    """
     slim = points.select("rep", col(id_col), *[col(c) for c in x], *[col(c) for c in labels])
     curves = threshold_curves(block_summaries(walk_positions(slim, id_col, n, seed), x, labels, n))
     top = F.round("h", 12)
@@ -137,11 +144,12 @@ def walk_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], n:
         F.max("h").alias("ic.h_max"), F.min_by("eps", F.struct(-top, F.col("e"))).alias("ic.eps_max"),
         F.min(F.when((F.col("h") < SETTLED) & (F.col("e") > 0), F.col("eps"))).alias("_s"),
         F.max(F.when((F.col("h") < SETTLED) & (F.col("e") == 0), 1)).alias("_flat"),
-        F.max(F.when(F.col("e") == 0, F.col("m"))).alias("ic.m0"),
+        F.max(F.when(F.col("e") == 0, F.col("m"))).alias("ic.m0"), F.max("bad").alias("_bad"),
         F.collect_list(F.struct("e", "eps", "m")).alias("_curve"))  # one entry per threshold
     half = F.filter("_curve", lambda c: (c["m"] > 0.5 * F.col("`ic.m0`")) & (c["e"] > 0))
     wide = first.withColumn("ic.eps_s", F.when(F.col("_flat").isNull(), F.log10("_s"))).withColumn(
         "ic.eps_ratio", F.log10(F.array_max(F.transform(half, lambda c: c["eps"]))))
     names = ["ic.h_max", "ic.eps_s", "ic.eps_max", "ic.m0", "ic.eps_ratio"]
-    return to_long(wide.select("rep", "label", *[col(c) for c in names]), names, "feature", "value").select(
+    whole = F.col("_bad") == 0
+    return to_long(wide.select("rep", "label", *[F.when(whole, col(c)).alias(c) for c in names]), names, "feature", "value").select(
         "rep", "label", "feature", "value")

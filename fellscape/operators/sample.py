@@ -20,6 +20,11 @@ def check_subsample(ratio: float, repeats: int) -> None:
         raise ValueError(f"repeats must be positive, not {repeats}")
 
 
+def refused(ratio: Column, repeats: Column) -> Column:
+    """The same rule for a table of settings: true where a subsample would be refused."""
+    return ~F.coalesce((ratio > 0) & (ratio < 1) & (repeats > 0), F.lit(False))
+
+
 def _cutting_bucket(counts: DataFrame, bucket: str, need: Column) -> DataFrame:
     """Per repeat, the bucket in which the wanted number of rows is reached, and how many it gives."""
     run = W.partitionBy("rep").orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)

@@ -13,13 +13,15 @@ class Study:
     """Inputs, responses and everything a run needs to know.
 
     ``bounds`` are the declared limits of the inputs, ``target`` the limits they are mapped to
-    (None leaves the inputs alone). How much runs at once is the cluster's business.
+    (None leaves the inputs alone). Each population can be left out: no ``responses``, no ``fids``
+    or no ``generated``. How much runs at once is the cluster's business.
     """
 
     bounds: Bounds
     responses: tuple[str, ...]
     target: Bounds | None = None
     normalize_x: bool = True
+    normalize_y: bool = True
     problem_label: str = "problem"
     id_col: str = "sample_id"
     bootstrap: bool = True
@@ -33,8 +35,8 @@ class Study:
     families: tuple[str, ...] = field(default=("ela_meta", "ela_distr", "ela_level", "pca", "limo", "nbc", "disp", "ic"))
 
     def __post_init__(self):
-        if not self.responses:
-            raise ValueError("a study needs at least one response")
+        if not self.responses and not self.functions and not self.generated:
+            raise ValueError("a study needs a response, a benchmark function or a generated one")
         if any(hi <= lo for lo, hi in zip(self.bounds.lower, self.bounds.upper)):
             raise ValueError("every upper bound must exceed its lower bound")
         if self.normalize_x and self.target is None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fellscape.functions.columns import col, tidy
-from fellscape.operators import cluster
+from fellscape.operators import cluster, rescale
 from fellscape.plans import analyze, compute
 from fellscape.plans.study import Study
-from fellscape.queries import views as v
-from fellscape.queries.registry import add
+from fellscape.queries import landscape, views as v
+from fellscape.queries.registry import SQL, add
 from fellscape.queries.selection import COLS, populations
 from fellscape.session import cut
 
@@ -74,7 +74,16 @@ def _compute(spark, sf):
         "label", "kind", "feature", tidy("value").alias("value"))
 
 
-add("compute_features", _compute)
+def _features_sql():
+    """The features of both responses, each by its own SQL, on the grid of all of them."""
+    names = [f"{family}.{name}" for family, own in compute.FEATURES.items() for name in own]
+    each = " UNION ALL ".join(f"SELECT label, feature, value FROM ({SQL[name]})" for name in names)
+    return f"""SELECT 'problem_' || g.label AS label, 'problem' AS kind, g.feature, r.value
+FROM (SELECT label, unnest([{', '.join(f"'{n}'" for n in names)}]) AS feature FROM (VALUES ('y1'), ('y2')) AS l(label)) AS g
+LEFT JOIN ({each}) AS r ON r.label = g.label AND r.feature = g.feature"""
+
+
+add("compute_features", _compute, _features_sql())
 
 
 def _many(spark, sf):
@@ -87,14 +96,22 @@ add("compute_features_many", lambda spark, sf: _many(spark, sf).features)
 
 
 def _status(spark, sf):
-    """What is missing in a small study with a constant response: its families fail, the others go on."""
-    study = Study(bounds=v.PART_BOUNDS, responses=("y1", "flat"), bootstrap=False, fids=(1, 2), generated=0,
-                  families=("ela_meta", "ela_distr", "pca", "limo", "nbc"))
-    doe = v.doe_part(spark, sf).dropna().withColumn("flat", F.lit(3.0))
-    return compute.compute_features_many(study, doe).status
+    """What is missing with a constant and an incomplete response beside a good one: they fail in every family."""
+    points, n = landscape.frame(spark, sf)
+    good, flat, holes = F.col("y1"), F.lit(3.0), F.when(F.col("sample_id") % 500 != 7, F.col("y2"))
+    points = points.select("rep", "sample_id", *landscape.X, good.alias("good"), flat.alias("flat"), holes.alias("holes"))
+    labels = ["good", "flat", "holes"]
+    points = cut(rescale.normalize_response(points, ["rep"], labels, bound=1))
+    return compute.family_status(compute.compute_features(points, landscape.X, labels, landscape.BOX, [0], n))
 
 
-add("family_status", _status)
+_STATUS_SQL = f"""WITH {v.POINTS}, l AS (SELECT unnest(['good', 'flat', 'holes']) AS label),
+f AS (SELECT unnest([{', '.join(f"'{f}'" for f in compute.FEATURES)}]) AS family, unnest([{', '.join(str(len(f)) for f in compute.FEATURES.values())}]) AS n),
+h AS (SELECT 'good' AS label, count(*) = count(y1) AND max(y1) > min(y1) AS whole FROM norm UNION ALL SELECT 'flat', false
+      UNION ALL SELECT 'holes', count(*) = count(CASE WHEN sample_id % 500 <> 7 THEN y2 END) FROM norm)
+SELECT label, family, n::BIGINT AS n_features, CASE WHEN whole THEN 0 ELSE n END::BIGINT AS n_missing, CASE WHEN whole THEN 'ok' ELSE 'failed' END AS status
+FROM l JOIN h USING (label) CROSS JOIN f"""
+add("family_status", _status, _STATUS_SQL)
 
 
 def _study(spark, sf):
@@ -108,17 +125,13 @@ add("study_clusters", _study)
 
 
 def _config(spark, sf):
-    """Settings in use and settings refused."""
-    refused = 0
-    for bad in ({"ratio": 1.5}, {"repeats": 0}, {"generated": -1}):
-        try:
-            part_study(**bad)
-        except ValueError:
-            refused += 1
+    """Limits of the inputs taken from the parts of a brand; a study refuses those without extent."""
+    limits = v.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(
+        F.min("p_size").alias("lower"), F.max("p_size").alias("upper"), F.count("*").alias("n"))
     study = part_study()
-    n = len(study.functions) + study.generated + len(study.responses)
-    return v.table(spark, sf, "part").agg(
-        F.lit(len(study.reps)).alias("repeats"), F.lit(n).alias("labels"), F.lit(refused).alias("refused"), F.count("*").alias("n"))
+    labels = len(study.functions) + study.generated + len(study.responses)
+    return limits.select("p_brand", "p_type", (F.col("upper") <= F.col("lower")).alias("refused"),
+                         (F.col("n") * labels * len(study.reps)).alias("values"))
 
 
-add("study_config", _config, "SELECT 2 AS repeats, 31 AS labels, 3 AS refused, count(*) AS n FROM part")
+add("study_config", _config, "SELECT p_brand, p_type, max(p_size) <= min(p_size) AS refused, count(*) * 31 * 2 AS values FROM part GROUP BY ALL")

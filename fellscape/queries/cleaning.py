@@ -229,8 +229,8 @@ add("drop_cols_constant", lambda spark, sf: wide(clean.drop_cols_constant(featur
 add("drop_duplicate_rows", lambda spark, sf: clean.drop_duplicate_rows(
     v.doe_lineitem(spark, sf).select(*LINE_X)), f"WITH {v.DOE_LINEITEM} SELECT DISTINCT x1, x2, x3 FROM line")
 add("reindex", lambda spark, sf: clean.reindex(
-    v.table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey"),
-    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders WHERE o_orderstatus = 'F'")
+    v.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey"),
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
 
 
 def _cleaned(spark, sf):

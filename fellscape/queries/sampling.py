@@ -9,7 +9,6 @@ from fellscape.operators import design, sample
 from fellscape.operators.rescale import Bounds
 from fellscape.queries import views as v
 from fellscape.queries.registry import add, query
-from fellscape.session import spread
 
 NAMES = ["x1", "x2", "x3"]
 UNIT = "/ 281474976710656.0::DOUBLE"
@@ -20,7 +19,7 @@ def unit_sql(text: str) -> str:
 
 
 def _lines(spark, sf):
-    return spread(v.doe_lineitem(spark, sf).select("sample_id", "y1"), "sample_id")
+    return v.doe_lineitem(spark, sf).select("sample_id", "y1")
 
 
 add("subsample", lambda spark, sf: sample.subsample(_lines(spark, sf), "sample_id", 0.8, 2, 42).select("rep", "sample_id", "y1"),
@@ -34,16 +33,11 @@ add("expected_sample_size", lambda spark, sf: v.table(spark, sf, "events").group
     "SELECT event_type, CAST(ceil(count(*) * 0.8::DOUBLE) AS BIGINT) AS k FROM events GROUP BY event_type")
 
 
-@query("subsample_checks", "SELECT 3 AS rejected, count(*) AS n FROM part")
-def subsample_checks(spark, sf):
-    """Wrong settings are refused before any work."""
-    rejected = 0
-    for ratio, repeats in ((0.0, 2), (1.0, 2), (0.8, 0)):
-        try:
-            sample.subsample(_lines(spark, sf), "sample_id", ratio, repeats)
-        except ValueError:
-            rejected += 1
-    return v.table(spark, sf, "part").agg(F.lit(rejected).alias("rejected"), F.count("*").alias("n"))
+add("subsample_checks", lambda spark, sf: v.table(spark, sf, "lineitem")
+    .select((F.col("l_discount") * 20 - 0.5).alias("ratio"), (F.col("l_linenumber") - 2).cast("long").alias("repeats"))
+    .withColumn("refused", sample.refused(F.col("ratio"), F.col("repeats"))).groupBy("refused").agg(F.count("*").alias("n")),
+    """SELECT NOT (l_discount * 20 - 0.5::DOUBLE > 0 AND l_discount * 20 - 0.5::DOUBLE < 1 AND l_linenumber - 2 > 0) AS refused, count(*) AS n
+FROM lineitem GROUP BY 1""")
 
 
 def _ids(spark, sf):

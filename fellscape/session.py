@@ -26,8 +26,12 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def run_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table written by one run."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table written by this application; its folder is deleted when the application ends."""
+    context = spark.sparkContext
+    run = f"{work_dir(spark).rstrip('/')}/fellscape-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(run)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fellscape.operators.tables import kind_of
 
 
+#: Columns of the features of a study as CSV; the population and the label are folders.
+STORED = "rep int, feature string, value double, fid int, iid int, kind string, label string"
+
+
 def write_features(features: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per population and label, so that a rerun replaces only the labels it has.
 
@@ -16,12 +20,12 @@ def write_features(features: DataFrame, path: str, fmt: str = "parquet") -> None
     task and label; a label holds at most (features x repeats) rows.
     """
     (features.repartition("kind", "label").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("kind", "label").format(fmt).save(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy("kind", "label").format(fmt).option("header", True).save(path))
 
 
-def read_features(spark: SparkSession, path: str, labels: Sequence[str] | None = None) -> DataFrame:
-    """All features, or those of the requested labels (pruned to their folders)."""
-    df = spark.read.parquet(path)
+def read_features(spark: SparkSession, path: str, labels: Sequence[str] | None = None, fmt: str = "parquet", schema: str = STORED) -> DataFrame:
+    """All features, or those of the requested labels (pruned to their folders); ``schema`` is that of CSV files."""
+    df = spark.read.parquet(path) if fmt == "parquet" else spark.read.format(fmt).schema(schema).option("header", True).load(path)
     return df.where(F.col("label").isin(list(labels))) if labels is not None else df
 
 
