@@ -48,14 +48,16 @@ def apply_functions(points: DataFrame, x: Sequence[str], functions: Sequence[tup
     return to_long(wide.select(id_col, *names), names)
 
 
-def map_function(points: DataFrame, x: Sequence[str], fn: Callable, out: str = "y") -> DataFrame:
-    """A user's function of one point, over all rows in Arrow batches.
+def map_function(points: DataFrame, x: Sequence[str], fn: Callable, out: str = "y", vectorized: bool = False) -> DataFrame:
+    """A user's function over all rows in Arrow batches, for objectives that cannot be written as columns.
 
-    For objectives that cannot be written as columns; ``fn`` gets a list of floats.
+    With ``vectorized``, ``fn`` gets an array of points (one per row) and returns their values; else it
+    is called with the floats of one point at a time.
     """
     @F.pandas_udf("double")
     def apply(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([float(fn(list(row))) for row in frame.itertuples(index=False)], dtype="float64")
+        cells = frame.to_numpy(float)
+        return pd.Series(fn(cells) if vectorized else [float(fn(row)) for row in cells.tolist()], dtype="float64")
 
     return points.withColumn(out, apply(F.struct(*[col(c) for c in x])))
 

@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fellscape.functions.columns import col
-from fellscape.operators.quantile import exact_quantiles
+from fellscape.operators.features.levels import with_levels
 from fellscape.operators.rescale import Bounds
-from fellscape.operators.tables import to_long
 from fellscape.operators.tiles import distances, tiled, upper
-from fellscape.session import broadcast_checked, cut
+from fellscape.session import cut
 
 QUANTILES = (0.02, 0.05, 0.10, 0.25)
 BINS = 4096
@@ -23,24 +22,6 @@ ALL = "*"  # the subset of all points, shared by the responses
 TILE = 1024
 
 
-def with_levels(points: DataFrame, labels: Sequence[str], quantiles: Sequence[float], bound: int | None) -> DataFrame:
-    """Per response, the index of the smallest quantile that holds the point (their number if none does)."""
-    rows = to_long(points.select("rep", *[col(c) for c in labels]), labels)
-    cuts = exact_quantiles(rows, ["rep", "label"], "y", quantiles, bound)
-    wide = cuts.groupBy("rep").agg(*[
-        F.max(F.when((F.col("label") == label) & (F.col("prob") == float(q)), F.col("q"))).alias(f"_q{i}_{k}")
-        for i, label in enumerate(labels) for k, q in enumerate(quantiles)])
-    wide = broadcast_checked(wide, bound)
-
-    def level(i, label):
-        out = F.lit(len(quantiles))
-        for k in reversed(range(len(quantiles))):
-            out = F.when(col(label) <= F.col(f"_q{i}_{k}"), F.lit(k)).otherwise(out)
-        return out.cast("tinyint").alias(f"_l{i}")
-
-    return points.join(wide, "rep").select(*[col(c) for c in points.columns], *[level(i, c) for i, c in enumerate(labels)])
-
-
 def bin_of(d: np.ndarray, lo: float, hi: float) -> np.ndarray:
     return np.clip((BINS * ((d - lo) / (hi - lo))).astype(np.int64), 0, BINS - 1)
 
@@ -170,7 +151,7 @@ def dispersion_features(points: DataFrame, x: Sequence[str], labels: Sequence[st
     """``disp.ratio_*`` and ``disp.diff_*`` of every response and quantile, mean and median."""
     xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
     slim = points.select("rep", col(id_col), *[col(c).alias(a) for c, a in zip([*x, *labels], [*xs, *ys])])
-    leveled = cut(with_levels(slim, ys, quantiles, bound).drop(*ys))
+    leveled = cut(with_levels(slim, ys, quantiles, bound, lambda y, q: y <= q).drop(*ys))
     longest = math.sqrt(sum((hi - lo) ** 2 for lo, hi in zip(bounds.lower, bounds.upper))) * (1 + 1e-9)
     pairs = PairDistances(leveled, xs, labels, len(quantiles), id_col, n)
     stats = cut(subset_statistics(pairs, reps, longest, points.sparkSession))

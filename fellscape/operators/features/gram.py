@@ -50,13 +50,19 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         if acc:
             yield rows(acc)
 
+    slim = df.select(*[col(k) for k in keys], *[col(c).cast("double").alias(a) for c, a in zip(columns, names)])
+    return merged(slim.mapInPandas(partial, schema), keys, schema)
+
+
+def merged(parts: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
+    """Rows ``(keys, n, s, g)`` of many tasks summed per key, in rounds of bounded groups."""
+    keys = list(keys)
+    group = [col(k) for k in keys]
+
     def merge(key, pdf):
         return pd.DataFrame([(*key[:len(keys)], int(pdf["n"].sum()), np.sum(np.stack(pdf["s"]), axis=0),
                               np.sum(np.stack(pdf["g"]), axis=0))], columns=[*keys, "n", "s", "g"])
 
-    slim = df.select(*[col(k) for k in keys], *[col(c).cast("double").alias(a) for c, a in zip(columns, names)])
-    parts = slim.mapInPandas(partial, schema)
-    group = [col(k) for k in keys]
     def merge_to(groups):
         return lambda key, pdf: merge(key, pdf).assign(_salt=int(key[-1]) % groups)
 

@@ -261,7 +261,7 @@ SELECT label, count(*) AS n, {v.f('min(y)')} AS lo, {v.f('avg(y)')} AS mean, {v.
 # ---- user functions ---------------------------------------------------------------------------------------
 
 add("map_function", lambda spark, sf: evaluate.map_function(
-    v.part_inputs(spark, sf), X, lambda p: p[0] ** 2 + 3 * p[1]).select("sample_id", tidy("y").alias("y")),
+    v.part_inputs(spark, sf), X, lambda p: p[:, 0] ** 2 + 3 * p[:, 1], vectorized=True).select("sample_id", tidy("y").alias("y")),
     f"WITH {v.PART_INPUTS} SELECT sample_id, {v.t('x1 * x1 + 3 * x2')} AS y FROM pts")
 
 

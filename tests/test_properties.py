@@ -93,8 +93,8 @@ def test_results_do_not_depend_on_partitions(spark, cloud):
 
 def test_positions_with_any_bucket_count(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    for buckets in (1, 3, 256):
-        got = position.add_position(df, "k", "p", buckets).where("k <> p").count()
+    for rows in (1000, 300, 4):
+        got = position.add_position(df, "k", "p", rows).where("k <> p").count()
         assert got == 0
 
 
