@@ -10,57 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fellscape.functions.columns import col
+from fellscape.operators.position import position_in_buckets
 from fellscape.operators.tables import to_long
-from fellscape.operators.tiles import distances, tiled
-from fellscape.session import BROADCAST_ROWS, cut
+from fellscape.operators.tiles import distances
+from fellscape.session import cut
 
-TILE = 1024
-BLOCKS_UP_TO = 20_000  # rows for which comparing all blocks is cheaper than rounds of joins
-CELL_DIMENSIONS = 3  # a point has 3 ** d cells around it
-CROWDED = 256  # rows of the fullest cell at which the search starts
-MAX_LEVEL = 40
-FEW = 500  # open searches that are finished in one last round
-
-
-def neighbour_blocks(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int,
-                     id_col: str = "sample_id") -> DataFrame:
-    """``(rep, label, sample_id, nn, nb, nb_id)`` by exact search over blocks of rows.
-
-    A block pair returns one candidate per point and response; the nearest of the candidates is
-    the neighbour. Ties in distance go to the smaller id.
-    """
-    labels, xs = list(labels), [f"_x{j}" for j in range(len(x))]
-    kind = points.schema[id_col].dataType.simpleString()
-
-    def search(a, b, d):
-        out = []
-        ids, other = a[id_col].to_numpy(), b[id_col].to_numpy()
-        nearest = d.min(axis=1)
-        for k, label in enumerate(labels):
-            better = np.where(b[f"_y{k}"].to_numpy(float)[None, :] < a[f"_y{k}"].to_numpy(float)[:, None], d, np.inf)
-            at = better.argmin(axis=1)
-            out.append(pd.DataFrame({"label": label, id_col: ids, "nn": nearest,
-                                     "nb": better[np.arange(len(ids)), at], "nb_id": other[at]}))
-        return pd.concat(out, ignore_index=True)
-
-    def kernel(a, b, same):
-        a = a.sort_values(id_col)
-        b = a if same else b.sort_values(id_col)
-        d = distances(a[xs].to_numpy(float), b[xs].to_numpy(float))
-        if same:
-            np.fill_diagonal(d, np.inf)
-            return search(a, b, d)
-        return pd.concat([search(a, b, d), search(b, a, d.T)], ignore_index=True)
-
-    slim = points.select("rep", col(id_col), *[col(c).alias(a) for c, a in zip(x, xs)],
-                         *[col(c).alias(f"_y{k}") for k, c in enumerate(labels)])
-    found = tiled(slim, ["rep"], id_col, n, kernel, f"rep int, label string, {id_col} {kind}, nn double, nb double, nb_id {kind}", TILE)
-    best = found.groupBy("rep", "label", id_col).agg(
-        F.min("nn").alias("nn"), F.min(F.struct("nb", "nb_id")).alias("b"))
-    inf = float("inf")
-    return best.select(
-        "rep", "label", id_col, F.when(F.col("nn") < inf, F.col("nn")).alias("nn"),
-        F.when(F.col("b.nb") < inf, F.col("b.nb")).alias("nb"), F.when(F.col("b.nb") < inf, F.col("b.nb_id")).alias("nb_id"))
+TILE = 1024  # points of a block
+MAX_BLOCKS = 2048  # blocks of a repeat, whose boxes are read on the driver; blocks grow beyond that
+AXES = 6  # leading inputs that the curve follows
+ROWS_PER_BUCKET = 100_000
+SLACK = 1e-12  # rounding of a box distance
 
 
 def correlation(a: str | Column, b: str | Column) -> Column:
@@ -91,76 +50,144 @@ def nbc_features(points: DataFrame, x: Sequence[str], labels: Sequence[str], n:
             .select("rep", "label", "feature", "value"))
 
 
-def neighbour_search(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id") -> DataFrame:
-    """Neighbours by cells in few dimensions, by blocks where blocks are cheap or cells would be too many."""
-    if n > BLOCKS_UP_TO and len(x) <= CELL_DIMENSIONS:
-        return neighbour_cells(points, x, labels, n, id_col)
-    return neighbour_blocks(points, x, labels, n, id_col)
-
+def curve(x: Sequence[str], lows: Sequence[float], extent: float) -> Column:
+    """Place on a space-filling curve: the bits of the inputs' grid cells, interleaved."""
+    used = list(zip(x, lows))[:AXES]
+    bits = min(20, 60 // len(used))
+    out = F.lit(0).cast("long")
+    for j, (c, lo) in enumerate(used):
+        cell = F.floor((F.col(c) - F.lit(lo)) / F.lit(extent) * (2 ** bits - 1)).cast("long")
+        for b in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), b * len(used) + j))
+    return out
 
-def neighbour_cells(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id") -> DataFrame:
-    """The same neighbours from cells that grow until every search is settled.
 
-    A point searches its own and the adjoining cells. A neighbour found within one cell width is
-    the nearest, since points beyond the adjoining cells are farther away; other searches go on
-    with cells four times as wide. Searches left open at width ``w`` have no neighbour within ``w``, so
-    they lie ``w`` apart and only a few fit into the next cell: the work of a round stays
-    proportional to the number of points. Points at the minimum have no better one and do not
-    search.
-    """
-    d = len(x)
-    labels, xs = list(labels), [f"_x{j}" for j in range(d)]
-    base = points.select("rep", col(id_col).alias("id"), *[col(c).alias(a) for c, a in zip(x, xs)],
-                         F.array(*[col(c) for c in labels]).alias("ys"))
-    row = base.agg(*[f(c).alias(f"{c}_{name}") for c in xs for name, f in (("lo", F.min), ("hi", F.max))]).first()
+def blocked(points: DataFrame, xs: Sequence[str], n: int) -> DataFrame:
+    """Points with ``_block``: stretches of about ``TILE`` points along the curve, counted by buckets."""
+    row = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in xs for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not row["n"]:
+        return points.withColumn("_block", F.lit(0))
     lows = [row[f"{c}_lo"] for c in xs]
     extent = max(max(row[f"{c}_hi"] - row[f"{c}_lo"] for c in xs), 1e-300) * (1 + 1e-9)
+    on_curve = cut(points.withColumn("_at", curve(xs, lows, extent)))
+    buckets = max(1, math.ceil(row["n"] / ROWS_PER_BUCKET))
+    borders = on_curve.agg(F.percentile_approx("_at", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] if buckets > 1 else []
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(borders))]), lambda b: b < F.col("_at"))) if borders else F.lit(0)
+    placed = position_in_buckets(on_curve, bucket, ["_at", "id"], "_pos", ["rep"])
+    size = max(TILE, math.ceil(n / MAX_BLOCKS))
+    return cut(placed.withColumn("_block", F.floor(F.col("_pos") / size).cast("int")).drop("_pos", "_at"))
+
+
+def boxes_of(rows: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> dict:
+    """Per repeat: lower and upper corners of the blocks and their smallest responses."""
+    found = rows.groupBy("rep", "_block").agg(*[F.min(c).alias(f"lo{c}") for c in xs], *[F.max(c).alias(f"hi{c}") for c in xs],
+                                              *[F.min(c).alias(f"min{c}") for c in ys]).orderBy("rep", "_block").toPandas()
+    return {int(rep): tuple(part[[f"{how}{c}" for c in names]].to_numpy(float) for how, names in (("lo", xs), ("hi", xs), ("min", ys)))
+            for rep, part in found.groupby("rep")}
 
-    def cells(level):
-        w = extent / 2 ** level
-        return [F.floor((F.col(c) - F.lit(lo)) / F.lit(w)).cast("long") for c, lo in zip(xs, lows)]
-
-    def crowd(level):
-        return base.groupBy("rep", *cells(level)).count().agg(F.max("count")).first()[0]
-
-    level = max(0, int(math.log2(max(n, 2)) / d))
-    while level < MAX_LEVEL and crowd(level) > CROWDED:
-        level += 2
-    floor_y = base.groupBy("rep").agg(*[F.min(F.get("ys", F.lit(k))).alias(f"m{k}") for k in range(len(labels))])
-    searches = F.array(F.struct(F.lit(-1).alias("k"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("m")), *[
-        F.struct(F.lit(k).alias("k"), F.get("ys", F.lit(k)).alias("y"), F.col(f"m{k}").alias("m")) for k in range(len(labels))])
-    open_ = (base.join(F.broadcast(floor_y), "rep").select("rep", "id", *xs, F.explode(searches).alias("s"))  # one row per repeat
-             .select("rep", "id", *xs, "s.k", "s.y", "s.m").where("k < 0 OR y > m").drop("m"))
-    left, settled = None, []
-    while True:
-        keys = [f"_c{j}" for j in range(d)]
-        asked = open_.select("*", *[c.alias(a) for c, a in zip(cells(level), keys)])
-        for a in keys:
-            asked = asked.select(*[c for c in asked.columns if c != a], F.explode(F.array(F.col(a) - 1, F.col(a), F.col(a) + 1)).alias(a))
-        asked = asked.select("rep", "id", "k", "y", *xs, *keys)
-        if left is not None and left * 3 ** d <= BROADCAST_ROWS:
-            asked = F.broadcast(asked)  # counted in the round before
-        other = base.select("rep", F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in xs], "ys",
-                            *[c.alias(a) for c, a in zip(cells(level), keys)])
-        fits = F.when(F.col("k") < 0, F.col("other") != F.col("id")).otherwise(F.get("ys", F.greatest("k", F.lit(0))) < F.col("y"))
-        gap = F.sqrt(sum([(F.col(c) - F.col(f"o{c}")) ** 2 for c in xs[1:]], (F.col(xs[0]) - F.col(f"o{xs[0]}")) ** 2))
-        found = (other.join(asked, ["rep", *keys]).where(fits)
-                 .groupBy("rep", "k", "id").agg(F.min(F.struct(gap.alias("dist"), "other")).alias("b")))
-        certain = F.lit(True) if level == 0 else F.col("b.dist") <= F.lit(extent / 2 ** level)
-        done = cut(found.where(certain).select("rep", "k", "id", "b.dist", "b.other"))
-        settled.append(done)
-        if level == 0:
-            break
-        open_ = cut(open_.join(done.select("rep", "k", "id"), ["rep", "k", "id"], "left_anti"))
-        left = open_.count()
-        if left == 0:
-            break
-        level = 0 if left <= FEW else max(0, level - 2)
-    rows = settled[0]
-    for more in settled[1:]:
-        rows = rows.unionAll(more)
-    names = F.array(*[F.lit(c) for c in labels])
-    nearest = rows.where("k < 0").select("rep", "id", F.col("dist").alias("nn"))
-    better = rows.where("k >= 0").select("rep", "id", F.get(names, F.col("k")).alias("label"), F.col("dist").alias("nb"), F.col("other").alias("nb_id"))
-    return (base.select("rep", "id", F.explode(names).alias("label")).join(nearest, ["rep", "id"], "left")
-            .join(better, ["rep", "id", "label"], "left").select("rep", "label", F.col("id").alias(id_col), "nn", "nb", "nb_id"))
+
+def nearest(a: pd.DataFrame, b: pd.DataFrame, xs: Sequence[str], ys: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each point of ``a`` in ``b``: distance to the nearest other point, and distance and id of the nearest better ones.
+
+    Points with an equal response are not better and never candidates. Ties go to the smaller id.
+    """
+    b = b.sort_values("id")
+    d = distances(a[xs].to_numpy(float), b[xs].to_numpy(float))
+    other = b["id"].to_numpy()
+    nn = np.where(a["id"].to_numpy()[:, None] == other[None, :], np.inf, d).min(axis=1)
+    nb, ids = np.full((len(a), len(ys)), np.inf), np.zeros((len(a), len(ys)), dtype=other.dtype)
+    for k, y in enumerate(ys):
+        better = np.where(b[y].to_numpy(float)[None, :] < a[y].to_numpy(float)[:, None], d, np.inf)
+        at = better.argmin(axis=1)
+        nb[:, k], ids[:, k] = better[np.arange(len(a)), at], other[at]
+    return nn, nb, ids
+
+
+def blocks_to_search(pdf: pd.DataFrame, query: int, boxes: tuple, xs: Sequence[str], ys: Sequence[str]) -> np.ndarray:
+    """Blocks that may hold a nearer neighbour or a nearer better point of some point of the block.
+
+    A point without a better one so far is bounded by the far corner of the nearest box that is known
+    to hold one. Boxes without a smaller response are not opened, so a plateau costs no more than a slope.
+    """
+    lo, hi, smallest = boxes
+    near, far = np.zeros((len(pdf), len(lo))), np.zeros((len(pdf), len(lo)))
+    for j, c in enumerate(xs):
+        v = pdf[c].to_numpy(float)[:, None]
+        near += np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0) ** 2
+        far += np.maximum(np.abs(v - lo[None, :, j]), np.abs(v - hi[None, :, j])) ** 2
+    near, far = np.sqrt(near) * (1 - SLACK), np.sqrt(far) * (1 + SLACK)
+    open_ = np.ones(len(lo), bool)
+    open_[max(0, query - 1):query + 2] = False  # searched already
+    far_other = np.where(open_[None, :], far, np.inf).min(axis=1) if open_.any() else np.full(len(pdf), np.inf)
+    need = (near <= np.minimum(pdf["nn"].to_numpy(float), far_other)[:, None]).any(axis=0)
+    found = np.stack(pdf["nb"]) if len(ys) else np.empty((len(pdf), 0))
+    for k, y in enumerate(ys):
+        better = smallest[None, :, k] < pdf[y].to_numpy(float)[:, None]
+        bound = np.minimum(found[:, k], np.where(better, far, np.inf).min(axis=1))
+        need |= ((near <= bound[:, None]) & better).any(axis=0)
+    return np.flatnonzero(need & open_)
+
+
+def neighbour_search(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id") -> DataFrame:
+    """``(rep, label, sample_id, nn, nb, nb_id)``, exact, for any number of points and inputs.
+
+    Points are cut into blocks along a space-filling curve. Each block first searches itself and its
+    neighbours on the curve, which bounds every search; then it opens just the blocks whose box lies within a
+    bound and, for better points, holds a smaller response. Many inputs make boxes overlap and the
+    search compare more blocks, down to all of them; the result is the same.
+    """
+    labels = list(labels)
+    xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
+    kind = points.schema[id_col].dataType.simpleString()
+    rows = blocked(points.select("rep", col(id_col).alias("id"), *[col(c).cast("double").alias(a) for c, a in zip(x, xs)],
+                                 *[col(c).cast("double").alias(a) for c, a in zip(labels, ys)]), xs, n)
+    boxes = boxes_of(rows, xs, ys)
+    cells = ", ".join(f"{c} double" for c in [*xs, *ys])
+    own = f"rep int, _block int, id {kind}, {cells}, nn double, nb array<double>, nb_id array<{kind}>"
+
+    def first(key, pdf):
+        a = pdf[pdf["_block"] == key[1]]
+        out = a[["rep", "_block", "id", *xs, *ys]].copy()
+        if not len(a):
+            return out.assign(nn=pd.Series(dtype=float), nb=pd.Series(dtype=object), nb_id=pd.Series(dtype=object))
+        nn, nb, ids = nearest(a, pdf, xs, ys)
+        return out.assign(nn=nn, nb=list(nb), nb_id=list(ids))
+
+    near = rows.withColumn("_query", F.explode(F.array(*[F.col("_block") + k for k in (-1, 0, 1)])))
+    known = cut(near.groupBy("rep", "_query").applyInPandas(first, own))
+
+    def ask(key, pdf):
+        wanted = blocks_to_search(pdf, int(key[1]), boxes[int(key[0])], xs, ys)
+        return pd.DataFrame({"rep": key[0], "_query": key[1], "_block": wanted}).astype("int32")
+
+    pairs = cut(known.groupBy("rep", "_block").applyInPandas(ask, "rep int, _query int, _block int"))
+    left = known.withColumnRenamed("_block", "_query").join(pairs, ["rep", "_query"])
+    right = rows.join(pairs, ["rep", "_block"])
+    group = ["rep", "_query", "_block"]
+
+    def second(key, a, b):
+        out = []
+        if len(a) and len(b):
+            nn, nb, ids = nearest(a, b, xs, ys)
+            better = nn < a["nn"].to_numpy(float)
+            out.append(pd.DataFrame({"id": a["id"].to_numpy()[better], "k": -1, "dist": nn[better], "other": a["id"].to_numpy()[better]}))
+            old, old_ids = np.stack(a["nb"]), np.stack(a["nb_id"])
+            for k in range(len(labels)):
+                better = (nb[:, k] < old[:, k]) | ((nb[:, k] == old[:, k]) & np.isfinite(nb[:, k]) & (ids[:, k] < old_ids[:, k]))
+                out.append(pd.DataFrame({"id": a["id"].to_numpy()[better], "k": k, "dist": nb[better, k], "other": ids[better, k]}))
+        out = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "k", "dist", "other"])
+        out.insert(0, "rep", key[0])
+        return out
+
+    more = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(second, f"rep int, id {kind}, k int, dist double, other {kind}")
+    start = known.select("rep", "id", F.explode(F.concat(
+        F.array(F.struct(F.lit(-1).alias("k"), F.col("nn").alias("dist"), F.col("id").alias("other"))),
+        F.transform(F.arrays_zip("nb", "nb_id"), lambda p, i: F.struct(i.alias("k"), p["nb"].alias("dist"), p["nb_id"].alias("other"))))).alias("s"))
+    every = start.select("rep", "id", "s.k", "s.dist", "s.other").unionAll(more).where(F.col("dist") < float("inf"))
+    best = every.groupBy("rep", "id").agg(F.min(F.when(F.col("k") < 0, F.col("dist"))).alias("nn"), *[
+        F.min(F.when(F.col("k") == k, F.struct("dist", "other"))).alias(f"b{k}") for k in range(len(labels))])
+    best = rows.select("rep", "id").join(best, ["rep", "id"], "left")  # a single point has no neighbour at all
+    cells_of = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"b{k}.dist").alias("nb"), F.col(f"b{k}.other").alias("nb_id"))
+                         for k, c in enumerate(labels)])
+    return best.select("rep", "id", "nn", F.explode(cells_of).alias("c")).select(
+        "rep", "c.label", F.col("id").alias(id_col), "nn", "c.nb", "c.nb_id")

@@ -10,7 +10,7 @@ from fellscape import Study
 from fellscape.functions import benchmarks
 from fellscape.functions.program import Program
 from fellscape.functions.simplify import simplify, to_text
-from fellscape.operators import clean, cluster, correlate, design, position, sample, standardize
+from fellscape.operators import clean, cluster, correlate, design, position, sample, standardize, tiles
 from fellscape.operators.features import dispersion, neighbours, walk
 from fellscape.operators.rescale import Bounds, rescale_affine
 from fellscape.plans import analyze, catalogue, compute
@@ -226,21 +226,30 @@ def test_neighbours(spark, cloud):
             assert r["nb"] is None if np.isinf(better.min()) else (r["nb"] == pytest.approx(better.min()) and r["nb_id"] == better.argmin())
 
 
-def test_cells_agree_with_blocks(spark, monkeypatch):
-    """A third of the points in one tiny cluster, a plateau in the response, several minima."""
+@pytest.mark.parametrize("d,tile", [(2, 32), (2, 1024), (5, 64), (9, 100)])
+def test_neighbours_over_blocks(spark, monkeypatch, d, tile):
+    """Many blocks, a tight cluster, a step, a plateau, tied distances and a constant response."""
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.uniform(-5, 5, (400, 2)), 1.0 + 1e-3 * rng.uniform(0, 1, (200, 2))])
-    y = np.round((x ** 2).sum(axis=1), 1)
-    y[:5] = y.min()
-    rows = [(0, i, float(a), float(b), float(c), float(np.sin(a))) for i, ((a, b), c) in enumerate(zip(x, y))]
-    df = spark.createDataFrame(rows, "rep int, sample_id long, x1 double, x2 double, a double, b double").cache()
-    monkeypatch.setattr(neighbours, "CROWDED", 20)
-    monkeypatch.setattr(neighbours, "FEW", 10)
-    order = lambda d: sorted(((r["label"], r["sample_id"], r["nn"], r["nb"] or -1.0, r["nb_id"]) for r in d.collect()), key=str)
-    got, want = (order(f(df, X, ["a", "b"], 600)) for f in (neighbours.neighbour_cells, neighbours.neighbour_blocks))
-    assert len(got) == len(want) == 1200
-    for g, w in zip(got, want):
-        assert g[:2] == w[:2] and g[2:4] == pytest.approx(w[2:4], rel=1e-12) and g[4] == w[4]
+    x = np.vstack([rng.uniform(-5, 5, (300, d)), 1.0 + 1e-3 * rng.uniform(0, 1, (150, d)), np.round(rng.uniform(-5, 5, (150, d)))])
+    x = np.unique(x, axis=0)
+    n = len(x)
+    y = np.column_stack([np.round((x ** 2).sum(axis=1), 1), (x[:, 0] > -4.9).astype(float), np.zeros(n)])
+    y[:5, 0] = y[:, 0].min()
+    names = [f"x{j + 1}" for j in range(d)]
+    df = spark.createDataFrame([(0, i, *map(float, p), *map(float, q)) for i, (p, q) in enumerate(zip(x, y))],
+                               "rep int, sample_id long, " + ", ".join(f"{c} double" for c in [*names, "a", "b", "c"])).cache()
+    monkeypatch.setattr(neighbours, "TILE", tile)
+    got = {(r["label"], r["sample_id"]): r for r in neighbours.neighbour_search(df, names, ["a", "b", "c"], n).collect()}
+    assert len(got) == 3 * n
+    dist = tiles.distances(x, x)
+    np.fill_diagonal(dist, np.inf)
+    for k, label in enumerate("abc"):
+        better = np.where(y[None, :, k] < y[:, None, k], dist, np.inf)
+        for i in range(n):
+            r = got[label, i]
+            assert r["nn"] == dist[i].min()
+            want = (None, None) if np.isinf(better[i].min()) else (better[i].min(), better[i].argmin())
+            assert (r["nb"], r["nb_id"]) == want
 
 
 def test_blocks_agree_with_one_block(spark, cloud, monkeypatch):
