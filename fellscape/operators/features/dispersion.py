@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fellscape.functions.columns import col
 from fellscape.operators.features.levels import with_levels
+from fellscape.operators.features.neighbours import blocked
 from fellscape.operators.rescale import Bounds
 from fellscape.operators.tiles import distances, tiled, upper
-from fellscape.session import cut
+from fellscape.session import cut, task_count
 
 QUANTILES = (0.02, 0.05, 0.10, 0.25)
 BINS = 4096
@@ -22,78 +23,144 @@ ALL = "*"  # the subset of all points, shared by the responses
 TILE = 1024
 
 
-def bin_of(d: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    return np.clip((BINS * ((d - lo) / (hi - lo))).astype(np.int64), 0, BINS - 1)
+def bin_of(d: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    return np.clip((bins * ((d - lo) / (hi - lo))).astype(np.int64), 0, bins - 1)
 
 
-def inside(d: np.ndarray, path) -> np.ndarray:
+def inside(d: np.ndarray, path, bins: int) -> np.ndarray:
     """Distances that fell into the kept bins of every earlier pass (by the same arithmetic)."""
     for lo, hi, first, last in path:
-        at = bin_of(d, lo, hi)
+        at = bin_of(d, lo, hi, bins)
         d = d[(at >= first) & (at <= last)]
     return d
 
 
-def subset_distances(a: pd.DataFrame, b: pd.DataFrame, same: bool, x: Sequence[str], labels: Sequence[str], n_quantiles: int):
-    """Distances between two blocks for the subset of all points and for each response's subsets."""
-    d = distances(a[x].to_numpy(float), b[x].to_numpy(float))
-    pairs = upper(d.shape, same)
-    yield ALL, n_quantiles, d[pairs]
-    for i, label in enumerate(labels):
-        la, lb = a[f"_l{i}"].to_numpy(), b[f"_l{i}"].to_numpy()
-        ra, rb = np.nonzero(la < n_quantiles)[0], np.nonzero(lb < n_quantiles)[0]
-        level = np.maximum(la[ra][:, None], lb[rb][None, :])
-        some, keep = d[np.ix_(ra, rb)], pairs[np.ix_(ra, rb)]
-        for k in range(n_quantiles):
+def subset_distances(a: Block, b: Block, same: bool, keys: Sequence[tuple[str, int]]):
+    """Distances between two blocks for the wanted subsets ``(label number or ALL, k)``, each pair of blocks computed once."""
+    by_label: dict = {}
+    for label, k in keys:
+        by_label.setdefault(label, []).append(k)
+    whole = None
+    if ALL in by_label:
+        whole = distances(a.x, b.x)
+        yield ALL, by_label[ALL][0], whole[upper(whole.shape, same)]
+    for label, ks in by_label.items():
+        if label == ALL:
+            continue
+        ra, rb = a.low[label], b.low[label]
+        if not len(ra) or not len(rb):
+            continue
+        some = distances(a.x[ra], b.x[rb]) if whole is None else whole[np.ix_(ra, rb)]
+        level = np.maximum(a.level[label][ra][:, None], b.level[label][rb][None, :])
+        keep = ra[:, None] < rb[None, :] if same else np.ones(some.shape, dtype=bool)
+        for k in ks:
             yield label, k, some[keep & (level <= k)]
 
 
+class Block:
+    """Points of a stretch of the curve with their box; per response the points that a quantile holds."""
+
+    def __init__(self, pdf: pd.DataFrame, x: Sequence[str], n_labels: int, n_quantiles: int):
+        self.x = pdf[x].to_numpy(float)
+        self.lo, self.hi = self.x.min(axis=0), self.x.max(axis=0)
+        self.level = [pdf[f"_l{i}"].to_numpy() for i in range(n_labels)]
+        self.low = [np.nonzero(level < n_quantiles)[0] for level in self.level]
+
+    def range_to(self, other: Block) -> tuple[float, float]:
+        """Smallest and largest distance that two points of the boxes can have."""
+        near = np.maximum(np.maximum(self.lo - other.hi, other.lo - self.hi), 0)
+        far = np.maximum(self.hi - other.lo, other.hi - self.lo)
+        return math.sqrt(float(near @ near)) * (1 - 1e-12), math.sqrt(float(far @ far)) * (1 + 1e-12)
+
+
 class PairDistances:
     """Histograms and values of the pair distances of nested subsets, from blocks of rows.
 
     Distances are computed once per block pair and serve all responses. Subsets are numbered by
-    quantile; the subset of all points is shared by the responses under the label ``*``.
+    quantile; the subset of all points is shared by the responses under the label ``*``. Blocks lie
+    along a space-filling curve; a task compares two tiles of many blocks, and the tiles are as
+    many as the tasks need, so a row is copied once per tile whatever the number of rows. A later pass opens
+    only block pairs that can have a distance in a bin that is still open.
     """
 
-    def __init__(self, rows: DataFrame, x: Sequence[str], labels: Sequence[str], n_quantiles: int, id_col: str, n: int):
+    def __init__(self, rows: DataFrame, x: Sequence[str], labels: Sequence[str], n_quantiles: int, n: int):
         self.rows, self.x, self.labels = rows, list(x), list(labels)
-        self.nq, self.id_col, self.n = n_quantiles, id_col, n
+        self.nq, self.n = n_quantiles, n
 
     def keys(self, reps: Sequence[int]):
         own = [(label, k) for label in self.labels for k in range(self.nq)]
         return [(r, label, k) for r in reps for label, k in [(ALL, self.nq), *own]]
 
-    def _tiles(self, per_subset, paths, columns, types):
+    def _tiles(self, spans, add, rows_of, columns, types):
+        """``add(sum, key, distances)`` over the block pairs whose range meets the key's span; one result per tile pair."""
         x, labels, nq = self.x, self.labels, self.nq
+        number = {label: i for i, label in enumerate(labels)} | {ALL: ALL}
 
         def kernel(a, b, same):
-            rep = int(a["rep"].iloc[0]) if len(a) else -1
-            out = [per_subset(label, k, d, paths[rep, label, k]) for label, k, d in subset_distances(a, b, same, x, labels, nq)
-                   if (rep, label, k) in paths and len(d)] if len(a) and len(b) else []
+            sums: dict = {}
+            if len(a) and len(b):
+                rep = int(a["rep"].iloc[0])
+                own = [(key, number[key[1]]) for key in spans if key[0] == rep]
+                left = [Block(part, x, len(labels), nq) for _, part in a.groupby("_block_no")]
+                right = left if same else [Block(part, x, len(labels), nq) for _, part in b.groupby("_block_no")]
+                for i, p in enumerate(left):
+                    for j in range(i if same else 0, len(right)):
+                        near, far = p.range_to(right[j])
+                        wanted = {(label, key[2]): key for key, label in own if near <= spans[key][1] and far >= spans[key][0]}
+                        if not wanted:
+                            continue
+                        for label, k, d in subset_distances(p, right[j], same and i == j, list(wanted)):
+                            if len(d):
+                                key = wanted[label, k]
+                                sums[key] = add(sums.get(key), key, d)
+            out = [rows_of(key, total) for key, total in sums.items() if total is not None]
             return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
 
-        return tiled(self.rows, ["rep"], self.id_col, self.n, kernel, f"rep int, {types}", TILE)
+        tiles = max(1, math.ceil(math.sqrt(8 * task_count(self.rows.sparkSession))))
+        tile = max(TILE, math.ceil(self.n / tiles))
+        per_tile = max(1, math.ceil(tile / TILE))
+        rows = self.rows.withColumnRenamed("_block", "_block_no")
+        blocks = self.rows.agg(F.max("_block")).first()[0] or 0
+        return tiled(rows, ["rep"], "id", (blocks // per_tile + 1) * per_tile, kernel, f"rep int, {types}", per_tile,
+                     F.floor(F.col("_block_no") / per_tile).cast("int"))
 
     def histogram(self, paths: dict, spans: dict) -> DataFrame:
         """``(rep, label, k, bin, c, s)`` over the current span of each subset."""
-        def count(label, k, d, path):
-            d = inside(d, path[0])
-            at = bin_of(d, *path[1])
-            c, s = np.bincount(at, minlength=BINS), np.bincount(at, weights=d, minlength=BINS)
-            used = np.nonzero(c)[0]
-            return pd.DataFrame({"label": label, "k": k, "bin": used, "c": c[used], "s": s[used]})
-
-        both = {key: (paths[key], spans[key]) for key in spans}
-        parts = self._tiles(count, both, ["label", "k", "bin", "c", "s"], "label string, k int, bin int, c long, s double")
+        bins = BINS
+
+        def add(total, key, d):
+            d = inside(d, paths[key], bins)
+            if not len(d):
+                return total
+            at = bin_of(d, *spans[key], bins)
+            c, s = np.bincount(at, minlength=bins), np.bincount(at, weights=d, minlength=bins)
+            return (c, s) if total is None else (total[0] + c, total[1] + s)
+
+        def rows_of(key, total):
+            used = np.nonzero(total[0])[0]
+            return pd.DataFrame({"label": key[1], "k": key[2], "bin": used, "c": total[0][used], "s": total[1][used]})
+
+        parts = self._tiles(spans, add, rows_of, ["label", "k", "bin", "c", "s"], "label string, k int, bin int, c long, s double")
         return parts.groupBy("rep", "label", "k", "bin").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
 
     def values(self, paths: dict) -> DataFrame:
         """``(rep, label, k, v, c)``: the distinct distances left in each subset."""
-        def listed(label, k, d, path):
-            v, c = np.unique(inside(d, path), return_counts=True)
-            return pd.DataFrame({"label": label, "k": k, "v": v, "c": c})
-
-        parts = self._tiles(listed, paths, ["label", "k", "v", "c"], "label string, k int, v double, c long")
+        bins = BINS
+
+        def add(total, key, d):
+            d = inside(d, paths[key], bins)
+            return total if not len(d) else d if total is None else np.concatenate((total, d))
+
+        def rows_of(key, total):
+            v, c = np.unique(total, return_counts=True)
+            return pd.DataFrame({"label": key[1], "k": key[2], "v": v, "c": c})
+
+        spans = {}
+        for key, path in paths.items():
+            lo, hi, first, last = path[-1]
+            step = (hi - lo) / BINS  # a bin more at either end, for rounding
+            spans[key] = (lo + (first - 1) * step, lo + (last + 2) * step)
+        parts = self._tiles(spans, add, rows_of, ["label", "k", "v", "c"], "label string, k int, v double, c long")
         return parts.groupBy("rep", "label", "k", "v").agg(F.sum("c").alias("c"))
 
 
@@ -151,9 +218,9 @@ def dispersion_features(points: DataFrame, x: Sequence[str], labels: Sequence[st
     """``disp.ratio_*`` and ``disp.diff_*`` of every response and quantile, mean and median."""
     xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
     slim = points.select("rep", col(id_col), *[col(c).alias(a) for c, a in zip([*x, *labels], [*xs, *ys])])
-    leveled = cut(with_levels(slim, ys, quantiles, bound, lambda y, q: y <= q).drop(*ys))
+    leveled = blocked(with_levels(slim, ys, quantiles, bound, lambda y, q: y <= q).drop(*ys).withColumnRenamed(id_col, "id"), xs, n, TILE)
     longest = math.sqrt(sum((hi - lo) ** 2 for lo, hi in zip(bounds.lower, bounds.upper))) * (1 + 1e-9)
-    pairs = PairDistances(leveled, xs, labels, len(quantiles), id_col, n)
+    pairs = PairDistances(leveled, xs, labels, len(quantiles), n)
     stats = cut(subset_statistics(pairs, reps, longest, points.sparkSession))
     whole = stats.where(F.col("label") == ALL).select("rep", F.col("mean").alias("mean_all"), F.col("median").alias("median_all"))
     own = stats.where(F.col("label") != ALL).join(F.broadcast(whole), "rep")  # one row per repeat

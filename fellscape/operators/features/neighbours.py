@@ -62,8 +62,8 @@ def curve(x: Sequence[str], lows: Sequence[float], extent: float) -> Column:
     return out
 
 
-def blocked(points: DataFrame, xs: Sequence[str], n: int) -> DataFrame:
-    """Points with ``_block``: stretches of about ``TILE`` points along the curve, counted by buckets."""
+def blocked(points: DataFrame, xs: Sequence[str], n: int, tile: int, blocks: int | None = None) -> DataFrame:
+    """Points with ``_block``: stretches of about ``tile`` points along the curve, at most ``blocks``; column ``id`` breaks ties."""
     row = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in xs for name, f in (("lo", F.min), ("hi", F.max))]).first()
     if not row["n"]:
         return points.withColumn("_block", F.lit(0))
@@ -74,7 +74,7 @@ def blocked(points: DataFrame, xs: Sequence[str], n: int) -> DataFrame:
     borders = on_curve.agg(F.percentile_approx("_at", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] if buckets > 1 else []
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(borders))]), lambda b: b < F.col("_at"))) if borders else F.lit(0)
     placed = position_in_buckets(on_curve, bucket, ["_at", "id"], "_pos", ["rep"])
-    size = max(TILE, math.ceil(n / MAX_BLOCKS))
+    size = max(tile, math.ceil(n / blocks)) if blocks else tile
     return cut(placed.withColumn("_block", F.floor(F.col("_pos") / size).cast("int")).drop("_pos", "_at"))
 
 
@@ -140,7 +140,7 @@ def neighbour_search(points: DataFrame, x: Sequence[str], labels: Sequence[str],
     xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
     kind = points.schema[id_col].dataType.simpleString()
     rows = blocked(points.select("rep", col(id_col).alias("id"), *[col(c).cast("double").alias(a) for c, a in zip(x, xs)],
-                                 *[col(c).cast("double").alias(a) for c, a in zip(labels, ys)]), xs, n)
+                                 *[col(c).cast("double").alias(a) for c, a in zip(labels, ys)]), xs, n, TILE, MAX_BLOCKS)
     boxes = boxes_of(rows, xs, ys)
     cells = ", ".join(f"{c} double" for c in [*xs, *ys])
     own = f"rep int, _block int, id {kind}, {cells}, nn double, nb array<double>, nb_id array<{kind}>"

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fellscape.functions.columns import col
 from fellscape.session import task_count
@@ -21,13 +21,14 @@ Kernel = Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]
 
 
 def tiled(df: DataFrame, keys: Sequence[str], id_col: str, n: int, kernel: Kernel, schema: str,
-          tile: int = 2048) -> DataFrame:
+          tile: int = 2048, block: Column | None = None) -> DataFrame:
     """Apply ``kernel(left, right, same_block)`` to every pair of blocks of each group.
 
-    ``n`` is the row count of the largest group; ``schema`` names the key columns first.
+    ``n`` is the row count of the largest group; ``schema`` names the key columns first. Rows are hashed
+    into blocks unless ``block`` numbers them, from 0 to below ``n / tile``.
     """
     blocks = max(1, math.ceil(n / tile))
-    block = F.pmod(F.xxhash64(col(id_col)), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64(col(id_col)), F.lit(blocks)).cast("int") if block is None else block
     copies = (df.withColumn("_block", block)
               .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
               .withColumn("_left", F.least("_block", "_other")).withColumn("_right", F.greatest("_block", "_other"))
