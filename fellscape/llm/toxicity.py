@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fellscape.llm.common import binary_rows
+from fellscape.session import cut
 
 WINDOW = 12
 GRAM = 5
@@ -193,14 +194,22 @@ def training_row(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> list[tuple[bytes, int]]:
-    """The bounded fitting sample; a text labelled several times is toxic if any label says so."""
+    """The bounded fitting sample; a text labelled several times is toxic if any label says so.
+
+    Ids are chosen first, from ids and sizes alone.  There are at most ``fit.toxic + fit.ordinary`` of them,
+    so that they are broadcast to fetch their texts, and no text is shuffled.
+    """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & training_row(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    raw = F.col("text").cast("binary")
-    rows = docs.select("doc_id", raw.alias("raw")).where(F.octet_length("raw").between(1, fit.max_bytes))
-    rows = rows.join(known, "doc_id").withColumn("at", F.md5(F.col("doc_id").cast("string")))
+    fits = F.octet_length("text").between(1, fit.max_bytes)
+    bounds = ((1, fit.toxic), (0, fit.ordinary))
+    labelled = docs.where(fits).select("doc_id").join(known, "doc_id").withColumn("at", F.md5(F.col("doc_id").cast("string")))
+    labelled = cut(labelled.distinct())
+    first = [labelled.where(F.col("toxic") == label).orderBy("at").limit(bound) for label, bound in bounds]
+    chosen = cut(first[0].unionAll(first[1]))
+    rows = docs.where(fits).select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(chosen), "doc_id")
     out = []
-    for label, bound in ((1, fit.toxic), (0, fit.ordinary)):
+    for label, bound in bounds:  # rows that repeat an id do not widen the bound
         own = rows.where(F.col("toxic") == label).orderBy("at", "raw").limit(bound).select("raw", "toxic")
         out += [(bytes(r["raw"]), r["toxic"]) for r in own.toLocalIterator()]
     return out
