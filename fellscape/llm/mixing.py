@@ -74,7 +74,7 @@ def with_copies(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     NULL texts have no words.  Rows that agree in id and text are interchangeable.  A NULL source is a
     source of its own, the last.  Nothing is taken from a source without words.
     """
-    thin = rows.select("source", "size", "class", F.substring("key", 1, 5).alias("lead"))
+    thin = rows.select("source", "size", "class", F.substring("key", 1, 7).alias("lead"))
     totals = cut(targets(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), mix))
     digits = hex_digits(totals.agg(F.sum("n")).first()[0] or 0)
     before = W.partitionBy("source").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -110,7 +110,8 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
          md5('mix:11:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
