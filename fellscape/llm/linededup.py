@@ -118,7 +118,7 @@ def overlaps(held: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     me = F.struct("doc_id", "text_hash")
     shared = (each.groupBy("hash").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count(F.lit(1)).alias("uses"))
               .where("first != last").select("hash", "first", "uses"))
-    met = each.join(shared, "hash").drop("hash")
+    met = each.join(cut(shared), "hash").drop("hash")  # written, so that the join can split a line that many documents hold
     doc = W.partitionBy("doc_id", "text_hash")
     run = W.partitionBy("doc_id", "text_hash", "run")
     met = (met.withColumn("run", F.col("at") - F.row_number().over(doc.orderBy("at")))
@@ -159,7 +159,7 @@ def without_repeats(docs: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     """
     found = cut(repeated(docs, blocks))
     rows = docs.select("doc_id", "text").withColumn("text_hash", text_hash())
-    met = rows.join(found, ["doc_id", "text_hash"], "left")
+    met = rows.join(found.hint("merge"), ["doc_id", "text_hash"], "left")  # grows with the corpus: the same plan at every size
     none = F.array().cast("array<int>")
     split = F.split("text", "\n")
     rest = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n")
