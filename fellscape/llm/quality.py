@@ -212,3 +212,38 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules:
     rows, _ = with_measures(own, keep=["doc", "stratum"])
     return (rows.where(~base_failed()).join(found, "stratum", "left").where(F.size(broken_rules(rules)) == 0)
             .select(*[F.col("doc").getField(c).alias(c) for c in docs.columns]))
+
+
+def sql(rules: Sequence[Rule] = RULES, risk: Risk = Risk()) -> str:
+    """The same judgement in SQL, for comparison: counts from word lists, tails as sums of binomial terms."""
+    rungs = ", ".join(f"({k}, '{r.name}', {i}, {c!r}::DOUBLE, {str(r.above).lower()})" for k, r in enumerate(rules) for i, c in enumerate(r.cutoffs))
+    measured = ", ".join(f"{{'k': {k}, 'v': {r.numerator} / nullif({r.denominator}, 0)::DOUBLE}}" for k, r in enumerate(rules))
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '(none)') AS stratum, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '{word}+') AS words FROM documents),
+g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+h AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM w),
+m AS (SELECT w.rid, doc_id, stratum, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: len(x))), 0)::BIGINT AS word_chars,
+             (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM w JOIN l USING (rid) LEFT JOIN c USING (rid)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+y AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
+x AS (SELECT rid, unnest([{measured}], recursive := true) FROM b),
+r AS (SELECT * FROM (VALUES {rungs}) AS v(k, rule, rung, cutoff, above)),
+n AS (SELECT stratum, sum(good) AS n_good, count(*) OVER () * {len(rules)} AS families FROM b JOIN y USING (doc_id) WHERE NOT base_failed GROUP BY stratum),
+t AS (SELECT b.stratum, r.k, rung, cutoff, above,
+             sum(CASE WHEN good = 0 AND coalesce(CASE WHEN above THEN v >= cutoff ELSE v <= cutoff END, false) THEN 1 ELSE 0 END) AS bad,
+             sum(CASE WHEN good = 1 AND coalesce(CASE WHEN above THEN v >= cutoff ELSE v <= cutoff END, false) THEN 1 ELSE 0 END) AS wrong
+      FROM b JOIN y USING (doc_id) JOIN x USING (rid) JOIN r USING (k) WHERE NOT base_failed GROUP BY ALL),
+p AS (SELECT t.*, n_good, families, wrong < {risk.max_false_rejection / len(rules)!r} * n_good AND ln((SELECT sum(exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1)
+             + j * ln({risk.max_false_rejection / len(rules)!r}::DOUBLE) + (n_good - j) * ln(1 - {risk.max_false_rejection / len(rules)!r}::DOUBLE))) FROM range(wrong::BIGINT + 1) AS q(j)))
+             <= ln({risk.delta!r}::DOUBLE / families) AS proven FROM t JOIN n USING (stratum)),
+f AS (SELECT * FROM p QUALIFY bool_and(proven) OVER (PARTITION BY stratum, k ORDER BY rung)),
+z AS (SELECT stratum, k, cutoff, above FROM f WHERE bad > 0 QUALIFY row_number() OVER (PARTITION BY stratum, k ORDER BY bad DESC, rung) = 1),
+e AS (SELECT b.rid, string_agg(rule, ',' ORDER BY z.k) AS broken FROM b JOIN z USING (stratum) JOIN x ON x.rid = b.rid AND x.k = z.k
+      JOIN (SELECT DISTINCT k, rule FROM r) AS names ON names.k = z.k WHERE CASE WHEN above THEN v >= cutoff ELSE v <= cutoff END GROUP BY b.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, stratum, coalesce(broken, '') AS broken
+FROM b LEFT JOIN e USING (rid)"""

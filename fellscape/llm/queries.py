@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from fellscape.llm import chat, decontaminate, katz, linededup, mixing, quality, reputation, sharding, simhash, toxicity
@@ -24,10 +24,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", quality.sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.drop("n_lines")
+    return out.drop("n_lines").withColumn("broken", F.concat_ws(",", "broken"))
 
 
 @query("op2_url_reputation", reputation.SQL)
