@@ -1,4 +1,4 @@
-"""URL reputation, mixing and sharding: SQL, brute force, exact sizes."""
+"""SQL forms; URL reputation, mixing and sharding by brute force and exact sizes."""
 
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +11,7 @@ import check
 from fellscape.llm import mixing, reputation, sharding
 
 
-@pytest.mark.parametrize("name", ["op2_url_reputation", "op4_systematic_mixing"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_url_reputation", "op4_systematic_mixing"])
 def test_same_as_sql(spark, sf, name):
     state, _, _, note = check.compare(spark, check.connect(sf), sf, name, entry.queries()[name], entry.oracle_sql()[name])
     assert state == "ok", note
