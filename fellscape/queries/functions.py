@@ -119,11 +119,23 @@ FIXED = [
 ]
 
 
+# The same functions written by hand from the infix texts of the lists.
+_TURNED = ("(0.25 * x1 + 0.75 * x2)", "(0.5 * x1 + 0.125 * x2)")
+HAND = {
+    "rgf1": each("({x} * {x} + 2.5)"),
+    "rgf2": each(f"sin({TWO_PI} * {{x}} + x1 * {{x}})"),
+    "rgf3": "(" + " + ".join(f"ln(abs({t} * {t} + 1.25))" for t in _TURNED) + ") / 2.0::DOUBLE",
+    "rgf4": "(sqrt(abs(exp(x1))) + sqrt(abs(exp(2 * x2)))) / 2.0::DOUBLE",
+    "rgf5": f"((10 * cos({TWO_PI} * x2 - x1) + x1) + (10 * cos({TWO_PI} * 0 - x2) + x2)) / 2.0::DOUBLE",
+    "rgf6": each("({x} * power({x}, -1) - {x})"),
+    "rgf7": "power(x1 - x1, -1)",
+    "rgf8": "4.0::DOUBLE",
+}
+
+
 def _fixed_sql(rows):
-    prog = Program(DUCKDB)
-    for r in rows:
-        add_expression(prog, X, r["name"], r["rpn"], r["consts"], r["rots"])
-    return prog.sql("pts", ["sample_id"])
+    cells = [f"CASE WHEN abs({HAND[r['name']]}) < 1e-20 THEN 0 ELSE {HAND[r['name']]} END AS {r['name']}" for r in rows]
+    return f"SELECT sample_id, {', '.join(cells)} FROM pts"
 
 
 FINITE = FIXED[:5]
@@ -203,13 +215,22 @@ add("first_n_valid", lambda spark, sf: _generated(spark, sf, 5)[1].groupBy("labe
 
 
 def _stored(spark, sf):
+    """The fixed catalogue and its values, written and read back."""
     path = run_path(spark, "catalogue")
-    store.write_catalogue(*_generated(spark, sf, 3), path)
+    rows = spark.createDataFrame([(r["name"], r["rpn"], r["consts"], r["rots"]) for r in FINITE],
+                                 "name string, rpn array<int>, consts array<double>, rots array<array<array<double>>>")
+    store.write_catalogue(rows, to_expression(spark, sf), path)
     return store.read_catalogue(spark, path)
 
 
-add("write_catalogue", lambda spark, sf: _stored(spark, sf)[1])
-add("export_expression", lambda spark, sf: cat.evaluate_by_id(v.part_inputs(spark, sf), X, _stored(spark, sf)[0], ["rgf1", "rgf3"]))
+def _values_sql(names):
+    return (f"WITH {v.PART_INPUTS}, w AS ({_fixed_sql(FINITE)}) SELECT sample_id, label, {v.t('y')} AS y FROM w "
+            f"UNPIVOT (y FOR label IN ({', '.join(names)}))")
+
+
+add("write_catalogue", lambda spark, sf: _stored(spark, sf)[1], _values_sql([r["name"] for r in FINITE]))
+add("export_expression", lambda spark, sf: cat.evaluate_by_id(v.part_inputs(spark, sf), X, _stored(spark, sf)[0], ["rgf1", "rgf3"])
+    .withColumn("y", tidy("y")), _values_sql(["rgf1", "rgf3"]))
 
 
 @query("evaluate_by_name", f"WITH {v.PART_INPUTS}, w AS ({_fixed_sql(FINITE)}) SELECT sample_id, label, {v.t('y')} AS y FROM w "
