@@ -48,10 +48,9 @@ def ward_rounds(df: DataFrame, columns: Sequence[str], leaf: str) -> DataFrame:
                              F.array(*[col(c).cast("double") for c in columns]).alias("centre")))
     n, d, done, merges = clusters.count(), len(columns), 0, None
     while n > 1:
-        best = cut(_nearest(clusters, n))
-        mutual = (best.alias("p").join(best.alias("q"), (F.col("p.other") == F.col("q.leaf")) & (F.col("q.other") == F.col("p.leaf"))
-                                       & (F.col("p.leaf") < F.col("q.leaf")))
-                  .select(F.col("p.leaf").alias("leaf_a"), F.col("p.other").alias("leaf_b"), F.col("p.height").alias("height")))
+        best = _nearest(clusters, n)
+        mutual = (best.groupBy(F.least("leaf", "other").alias("leaf_a"), F.greatest("leaf", "other").alias("leaf_b"))
+                  .agg(F.count(F.lit(1)).alias("votes"), F.max("height").alias("height")).where("votes = 2").drop("votes"))
         named = clusters.join(mutual.select(F.col("leaf_b").alias("leaf"), F.col("leaf_a").alias("into"), "height"), "leaf", "left")
         weighted = F.transform("centre", lambda v: v * F.col("size"))
         joined = (named.withColumn("into", F.coalesce("into", "leaf")).withColumn("w", weighted).groupBy("into").agg(

@@ -10,7 +10,7 @@ from fellscape.plans import analyze, compute
 from fellscape.plans.study import Study
 from fellscape.queries import landscape, views as v
 from fellscape.queries.registry import SQL, add
-from fellscape.queries.selection import COLS, populations
+from fellscape.queries.selection import COLS, STANDARD, populations
 from fellscape.session import cut
 
 
@@ -46,9 +46,36 @@ def _cut_fixed(spark, sf):
     return cluster.cut_clusters(rows.select("label", "leaf"), cluster.ward_rounds(rows, features, "leaf"), 2.0, "leaf")
 
 
-add("ward_linkage", _linkage)
-add("cut_clusters", _cut_fixed)
-add("cluster_analysis", _clusters)
+# One merge at a time: the state is the list of clusters, and the nearest two are replaced by their union.
+_TREE = f"""WITH RECURSIVE {STANDARD},
+both_kinds AS (SELECT label, feature, z FROM std WHERE kind IN ('bbob', 'problem')),
+whole AS (SELECT feature FROM both_kinds GROUP BY feature HAVING count(z) = count(*)),
+leaves AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS leaf, list(z ORDER BY feature) AS c FROM both_kinds JOIN whole USING (feature) GROUP BY label),
+tree AS (
+  SELECT -1::BIGINT AS step, list({{'id': leaf::BIGINT, 'n': 1::BIGINT, 'c': c, 'leaves': [leaf::BIGINT]}} ORDER BY leaf) AS clusters, count(*)::BIGINT AS m,
+         NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, NULL::DOUBLE AS height, NULL::BIGINT AS size FROM leaves
+  UNION ALL
+  SELECT step + 1, list_append(list_filter(clusters, lambda e: e.id <> best.a.id AND e.id <> best.b.id),
+           {{'id': m + step + 1, 'n': best.a.n + best.b.n, 'c': list_transform(list_zip(best.a.c, best.b.c), lambda p: (p[1] * best.a.n + p[2] * best.b.n) / (best.a.n + best.b.n)),
+             'leaves': list_concat(best.a.leaves, best.b.leaves)}}), m, best.a.id, best.b.id, best.h, best.a.n + best.b.n
+  FROM (SELECT step, any_value(clusters) AS clusters, any_value(m) AS m, arg_min({{'a': a, 'b': b, 'h': h}}, h) AS best
+        FROM (SELECT step, clusters, m, a, b, sqrt(2.0::DOUBLE * a.n * b.n / (a.n + b.n)) * list_distance(a.c, b.c) AS h
+              FROM (SELECT step, clusters, m, a, unnest(clusters) AS b FROM (SELECT step, clusters, m, unnest(clusters) AS a FROM tree))
+              WHERE a.id < b.id) GROUP BY step))"""
+
+
+def _flat_sql(threshold):
+    return f"""cut AS (SELECT clusters FROM tree WHERE step = (SELECT coalesce(max(step), -1) FROM tree WHERE height < {threshold})),
+flat AS (SELECT unnest(c.leaves) AS leaf, list_min(c.leaves) AS cluster FROM (SELECT unnest(clusters) AS c FROM cut))"""
+
+
+_THRESHOLD = "(SELECT avg(nullif(dist, 0)) FROM far)"
+_FAR = """far AS (SELECT sqrt(sum((a.z - b.z) ** 2)) AS dist FROM std a JOIN std b USING (feature)
+WHERE a.kind = 'bbob' AND b.kind = 'bbob' AND a.label < b.label GROUP BY a.label, b.label)"""
+add("ward_linkage", _linkage, f"{_TREE} SELECT step, left_id, right_id, {v.t('height')} AS height, size FROM tree WHERE step >= 0")
+add("cut_clusters", _cut_fixed, f"{_TREE}, {_flat_sql('2.0')} SELECT label, leaf, cluster FROM leaves JOIN flat USING (leaf)")
+add("cluster_analysis", _clusters, f"""{_TREE}, {_FAR}, {_flat_sql(_THRESHOLD)}
+SELECT label, kind, cluster, {v.t(_THRESHOLD)} AS threshold FROM leaves JOIN flat USING (leaf) JOIN (SELECT DISTINCT label, kind FROM std) AS k USING (label)""")
 add("embed_2d", lambda spark, sf: analyze.embed_populations(_standard(spark, sf)).select(
     "label", "kind", tidy("x0").alias("x0"), tidy("x1").alias("x1")))
 
