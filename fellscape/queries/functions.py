@@ -14,7 +14,7 @@ from fellscape.operators import evaluate, tables
 from fellscape.plans import catalogue as cat
 from fellscape.queries import views as v
 from fellscape.queries.registry import add, query
-from fellscape.session import run_path
+from fellscape.session import run_path, spread
 from fellscape.sources import store
 
 X = ["x1", "x2"]
@@ -269,7 +269,7 @@ def line_points(spark, sf):
     return rescale_affine(v.doe_lineitem(spark, sf).select("sample_id", *X3), v.LINE_BOUNDS, Bounds.cube(X3))
 
 
-add("apply_functions_to_points", lambda spark, sf: evaluate.apply_functions(line_points(spark, sf), X3, ALL)
+add("apply_functions_to_points", lambda spark, sf: evaluate.apply_functions(spread(line_points(spark, sf), "sample_id"), X3, ALL)  # one file, much work a row
     .groupBy("label").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.avg("y").alias("mean"), F.max("y").alias("hi"))
     .select("label", "n", *[single(c).alias(c) for c in ("lo", "mean", "hi")]),
     f"""WITH {v.DOE_LINEITEM}, pts AS (SELECT sample_id, (x1 - 1.0::DOUBLE) / 49.0::DOUBLE * 10 - 5 AS x1,

@@ -9,6 +9,7 @@ from fellscape.operators import design, sample
 from fellscape.operators.rescale import Bounds
 from fellscape.queries import views as v
 from fellscape.queries.registry import add, query
+from fellscape.session import cut, spread
 
 NAMES = ["x1", "x2", "x3"]
 UNIT = "/ 281474976710656.0::DOUBLE"
@@ -22,7 +23,7 @@ def _lines(spark, sf):
     return v.doe_lineitem(spark, sf).select("sample_id", "y1")
 
 
-add("subsample", lambda spark, sf: sample.subsample(_lines(spark, sf), "sample_id", 0.8, 2, 42).select("rep", "sample_id", "y1"),
+add("subsample", lambda spark, sf: sample.subsample(cut(spread(_lines(spark, sf), "sample_id")), "sample_id", 0.8, 2, 42).select("rep", "sample_id", "y1"),
     f"""WITH {v.DOE_LINEITEM}, h AS (SELECT rep, sample_id, y1, md5(concat(42 + rep, ':', sample_id)) AS h, count(*) OVER (PARTITION BY rep) AS n
 FROM line, (SELECT unnest([0, 1])::INTEGER AS rep))
 SELECT rep, sample_id, y1 FROM h QUALIFY row_number() OVER (PARTITION BY rep ORDER BY h, sample_id) <= ceil(n * 0.8::DOUBLE)""")
