@@ -1,11 +1,10 @@
-"""Line deduplication by pairwise alignment of documents that share rare lines.
-
-1. *Overlaps.*  A line is shared when two documents hold it; its first holder is the document with the
-   smallest id.  A run of shared lines with fewer words than ``min_words`` cannot contain a block to
-   delete and asks for nothing.  In other runs the rare lines (at most ``rare`` occurrences, else the
-   rarest of the run) name their first holders, and each document is paired with these.  A line in any
-   number of documents gives each of them one partner, so pairs grow with the lines, never with
-   the square of a group.
+"""Line deduplication by pairwise alignment of documents that share passages.
+
+1. *Overlaps.*  A window is a shortest run of lines of at least ``min_words`` words from a line onwards or back
+   from a line.  Windows cover every line of every passage long enough to delete.  Each window that an
+   earlier document holds pairs the document with the window's first holder, the document with the smallest id.
+   A window in any number of documents gives each of them one partner, so pairs grow with the lines,
+   never with the square of a group.
 2. *Alignment.*  The line hashes of a pair are aligned as in a patience diff: equal ends, then lines that
    occur once in both as anchors along their longest increasing chain, then the gaps again.
 3. *Deletion.*  Aligned blocks, adjacent in both documents, of at least ``min_words`` words leave the later
@@ -17,14 +16,16 @@ are treated alike, and rows without an id are left as they are.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fellscape.llm.common import binary_rows
 from fellscape.session import cut
@@ -35,7 +36,6 @@ BATCH_BYTES = 8 << 20
 @dataclass(frozen=True)
 class Blocks:
     min_words: int = 20
-    rare: int = 1000
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -73,22 +73,37 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(hashes: Sequence[int], words: Sequence[int], min_words: int) -> dict[tuple[int, int], int]:
+    """Hash of each shortest run of lines of enough words that starts or ends at a line, by start and stop."""
+    total, n = [0, *accumulate(words)], len(words)
+    spans = set()
+    for i in range(n):
+        stop = bisect_left(total, total[i] + min_words)
+        if stop <= n:
+            spans.add((i, stop))
+        start = bisect_right(total, total[i + 1] - min_words) - 1
+        if start >= 0:
+            spans.add((start, i + 1))
+    raw = array("q", hashes).tobytes()
+    return {(a, b): xxhash.xxh64_intdigest(raw[8 * a:8 * b]) - (1 << 63) for a, b in spans}
+
+
 def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], min_words: int) -> list[int]:
     """Positions of the later document in aligned blocks of enough words."""
-    out, block = [], []
+    out, block = set(), []
     for i, j in [*patience(earlier, later), (-1, -1)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[y] for _, y in block) >= min_words:
-                out += [y for _, y in block]
+                out.update(y for _, y in block)
             block = []
         block.append((i, j))
-    return out
+    return sorted(out)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, hashes, words, places`` of the lines with words, a row per document."""
-    schema = "doc_id long, text_hash long, hashes array<long>, words array<int>, places array<int>"
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+def lines(docs: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
+    """``doc_id, text_hash, hashes, words, places`` of the lines with words, and hashes of ``windows``; a row per document."""
+    schema = "doc_id long, text_hash long, hashes array<long>, words array<int>, places array<int>, windows array<long>"
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -100,8 +115,9 @@ def lines(docs: DataFrame) -> DataFrame:
                 hashes.append([digest(x) - (1 << 63) for x, _ in found])
                 words.append([len(x.split()) for x, _ in found])
                 places.append([i for _, i in found])
-            arrays = [*batch.columns[:2], *[pa.array(x, t) for x, t in zip((hashes, words, places), types[2:])]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "hashes", "words", "places"])
+            met = [sorted(set(windows(h, n, blocks.min_words).values())) for h, n in zip(hashes, words)]
+            arrays = [*batch.columns[:2], *[pa.array(x, t) for x, t in zip((hashes, words, places, met), types[2:])]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "hashes", "words", "places", "windows"])
 
     source = docs.where("doc_id is not null").select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("binary").alias("raw"))
     return source.mapInArrow(run, schema)
@@ -111,27 +127,20 @@ def text_hash():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def overlaps(held: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
+def overlaps(held: DataFrame) -> DataFrame:
     """``doc_id, text_hash, first_id, first_hash``: documents and the earlier ones that they are aligned with."""
-    each = held.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "line")).select(
-        "doc_id", "text_hash", "at", F.col("line.hashes").alias("hash"), F.col("line.words").alias("n"))
+    each = held.select("doc_id", "text_hash", F.explode("windows").alias("hash"))
     me = F.struct("doc_id", "text_hash")
-    shared = (each.groupBy("hash").agg(F.min(me).alias("first"), F.max(me).alias("last"), F.count(F.lit(1)).alias("uses"))
-              .where("first != last").select("hash", "first", "uses"))
-    met = each.join(cut(shared), "hash").drop("hash")  # written, so that the join can split a line that many documents hold
-    doc = W.partitionBy("doc_id", "text_hash")
-    run = W.partitionBy("doc_id", "text_hash", "run")
-    met = (met.withColumn("run", F.col("at") - F.row_number().over(doc.orderBy("at")))
-           .withColumn("run_words", F.sum("n").over(run)).withColumn("rarest", F.min("uses").over(run)))
-    asked = met.where((F.col("run_words") >= blocks.min_words) & (F.col("uses") <= F.greatest(F.lit(blocks.rare), "rarest")))
-    return (asked.where(F.col("first") != me).select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    shared = each.groupBy("hash").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first != last").select("hash", "first")
+    met = each.join(cut(shared), "hash").drop("hash")  # written, so that the join can split a window that many documents hold
+    return (met.where(F.col("first") != me).select("doc_id", "text_hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
             .distinct())
 
 
 def repeated(docs: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     """``doc_id, text_hash, removed`` (line numbers from 0) and ``removed_words`` of the documents that lose lines."""
-    held = cut(lines(docs).dropDuplicates(["doc_id", "text_hash"]))
-    pairs = cut(overlaps(held, blocks))
+    held = cut(lines(docs, blocks).dropDuplicates(["doc_id", "text_hash"]))
+    pairs = cut(overlaps(held))
     first = held.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("hashes").alias("first_hashes"))
     work = pairs.join(held, ["doc_id", "text_hash"]).join(first, ["first_id", "first_hash"])
     work = work.select("doc_id", "text_hash", "hashes", "words", "places", "first_hashes")
