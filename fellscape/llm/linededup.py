@@ -8,7 +8,9 @@
 2. *Alignment.*  The line hashes of a pair are aligned as in a patience diff: equal ends, then lines that
    occur once in both as anchors along their longest increasing chain, then the gaps again.
 3. *Deletion.*  Aligned blocks, adjacent in both documents, of at least ``min_words`` words leave the later
-   document.  Lines without words neither break a block nor are deleted.
+   document, and then every window that the earlier one holds anywhere: passages that occur several
+   times in either, or in another order, have no place in one alignment.  Lines without words neither break a block
+   nor are deleted.
 
 Lines are compared without outer white space.  A document is a pair of id and text; rows that repeat both
 are treated alike, and rows without an id are left as they are.
@@ -88,8 +90,8 @@ def windows(hashes: Sequence[int], words: Sequence[int], min_words: int) -> dict
     return {(a, b): xxhash.xxh64_intdigest(raw[8 * a:8 * b]) - (1 << 63) for a, b in spans}
 
 
-def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], min_words: int) -> list[int]:
-    """Positions of the later document in aligned blocks of enough words."""
+def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], min_words: int, held: Iterable[int] = ()) -> list[int]:
+    """Positions of the later document in aligned blocks of enough words, and in windows that the earlier one has (``held``)."""
     out, block = set(), []
     for i, j in [*patience(earlier, later), (-1, -1)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
@@ -97,6 +99,11 @@ def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[
                 out.update(y for _, y in block)
             block = []
         block.append((i, j))
+    if len(out) < len(later):
+        held = set(held)
+        for (a, b), h in windows(later, words, min_words).items():
+            if h in held:
+                out.update(range(a, b))
     return sorted(out)
 
 
@@ -141,15 +148,16 @@ def repeated(docs: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:
     """``doc_id, text_hash, removed`` (line numbers from 0) and ``removed_words`` of the documents that lose lines."""
     held = cut(lines(docs, blocks).dropDuplicates(["doc_id", "text_hash"]))
     pairs = cut(overlaps(held))
-    first = held.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("hashes").alias("first_hashes"))
+    first = held.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.col("hashes").alias("first_hashes"),
+                        F.col("windows").alias("first_windows"))
     work = pairs.join(held, ["doc_id", "text_hash"]).join(first, ["first_id", "first_hash"])
-    work = work.select("doc_id", "text_hash", "hashes", "words", "places", "first_hashes")
+    work = work.select("doc_id", "text_hash", "hashes", "words", "places", "first_hashes", "first_windows")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "text_hash": [], "place": [], "n": []}
             for row in batch.to_pylist():
-                for y in common_blocks(row["first_hashes"], row["hashes"], row["words"], blocks.min_words):
+                for y in common_blocks(row["first_hashes"], row["hashes"], row["words"], blocks.min_words, row["first_windows"]):
                     for name, value in zip(out, (row["doc_id"], row["text_hash"], row["places"][y], row["words"][y])):
                         out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
