@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from fellscape.llm import (chat, decontaminate, digests, katz, linededup, mixing, periodic, quality, reputation, sharding, simhash,
-                           toxicity)
+from fellscape.llm import (chat, decontaminate, digests, hardneg, katz, linededup, mixing, periodic, quality, reputation, sharding,
+                           simhash, toxicity)
 from fellscape.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,13 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.of_runs(periodic.mark(digests.with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+@query("op13_zone_map_negatives", hardneg.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
