@@ -45,3 +45,14 @@ def of_runs(marked: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_runs", (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
                        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
                        "runs_sha256", "collapsed_sha256")
+
+
+def of_licenses(scanned: DataFrame, base_score: float) -> DataFrame:
+    """Counts, first and last place, labels and score of a licence scan."""
+    base = F.array_sort(F.array_distinct(F.col("base.label")))
+    both = F.array_sort(F.array_distinct(F.concat(F.col("base.label"), F.col("matches.label"))))
+    phrase = F.when(F.size("base") > 0, base_score).otherwise(0.0)
+    return scanned.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(F.col("base.start")).alias("first_word"),
+                          F.array_max(F.col("base.start")).alias("last_word"), F.array_join(base, ",").alias("base_labels"),
+                          F.array_join(both, ",").alias("labels"),
+                          F.greatest(phrase, F.coalesce(F.array_max(F.col("matches.score")), F.lit(0.0))).alias("score"))

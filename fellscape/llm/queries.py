@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from fellscape.llm import (chat, decontaminate, digests, hardneg, katz, linededup, mixing, periodic, quality, reputation, sharding,
-                           simhash, toxicity)
+from fellscape.llm import (chat, decontaminate, digests, hardneg, katz, licenses, linededup, mixing, periodic, quality, reputation,
+                           sharding, simhash, toxicity)
 from fellscape.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+@query("op11_rare_word_licenses")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.of_licenses(licenses.scan(table(spark, sf_dir, "documents")), licenses.BASE_SCORE)
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.of_runs(periodic.mark(digests.with_planted_runs(table(spark, sf_dir, "documents"))))
