@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from fellscape.session import cut
@@ -31,12 +33,12 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """``node, root`` for every node with a link; the root is the smallest node of its component.
 
     Edges are long columns ``a`` and ``b``; NULLs and self-links are ignored.  Every round is
     written to the shared folder; the number of rounds grows with the logarithm of the longest
-    chain.  A hub of any degree is only joined and minimised, never gathered.
+    chain.  A hub of any degree is only joined and minimised, never gathered.  ``cut`` writes a round.
     """
     edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("_a"), F.col(b).alias("_b"))
                 .where("_a is not null and _b is not null and u != v").select("u", "v").distinct())

@@ -7,9 +7,9 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from fellscape.llm import decontaminate, quality
 
-from .test_duplicates import brute_groups, brute_print
 from .test_native import whole_shards
 from .test_quality import brute as counts_of
+from .test_similar import brute_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,9 +27,7 @@ def test_stages(spark, sf, tmp_path):
     good = {i for i, r in whole.items() if not (lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0])(counts_of(r["text"]))}
     assert {r["doc_id"] for r in stage["quality_rules"]} == good
     # near duplicates: the smallest id of each group
-    ids = sorted(good)
-    label = brute_groups([brute_print(whole[i]["text"]) for i in ids])
-    alone = {ids[k] for k in label}
+    alone = {k for i, k in brute_components({i: whole[i]["text"] for i in good}).items() if i == k}
     assert {r["doc_id"] for r in stage["near_duplicates"]} == alone
     # decontamination: documents holding all eight-word runs of an item go, those sharing none stay
     plain = lambda t: [w for w in (x.strip(".,!?") for x in t.lower().split()) if any(c.isalnum() for c in w)]
