@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,6 +43,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Lineage cuts for one operator: a call writes a table, ``kept`` one that outlives the others."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(run_path(self.spark, "scratch"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return cut(df)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the tables of the block at its end, so that what the block returns must be ``kept``."""
+    held = Scratch(spark)
+    try:
+        yield held
+    finally:
+        context = spark.sparkContext
+        for name in held.paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_checked(df: DataFrame, bound: int | None = None) -> DataFrame:
     """Broadcast a table whose size is proven or measured, else leave the join to Spark.
 
