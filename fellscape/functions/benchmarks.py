@@ -134,6 +134,9 @@ class Builder:
     def bind(self, texts):
         return [self.p.bind(t) for t in texts]
 
+    def case(self, branches, default):
+        return self.p.dialect.case(branches, default)
+
     def shifted(self):
         return self.bind([f"({x} - {num(o)})" for x, o in zip(self.x, self.opt)])
 
@@ -152,15 +155,14 @@ class Builder:
         return np.diag([alpha ** (w / 2) for w in self.w])
 
     def osz(self, z):
-        logs = self.bind([f"CASE WHEN {v} = 0 THEN 0e0 ELSE ln(abs({v})) END" for v in z])
+        logs = self.bind([self.case([(f"{v} = 0", "0e0")], f"ln(abs({v}))") for v in z])
         return self.bind([
-            f"CASE WHEN {v} > 0 THEN exp({l} + 0.049e0 * (sin(10e0 * {l}) + sin(7.9e0 * {l}))) "
-            f"WHEN {v} < 0 THEN -exp({l} + 0.049e0 * (sin(5.5e0 * {l}) + sin(3.1e0 * {l}))) ELSE 0e0 END"
+            self.case([(f"{v} > 0", f"exp({l} + 0.049e0 * (sin(10e0 * {l}) + sin(7.9e0 * {l})))"),
+                       (f"{v} < 0", f"-exp({l} + 0.049e0 * (sin(5.5e0 * {l}) + sin(3.1e0 * {l})))")], "0e0")
             for v, l in zip(z, logs)])
 
     def asy(self, z, beta):
-        return self.bind([f"CASE WHEN {v} > 0 THEN power({v}, 1e0 + {num(beta * w)} * sqrt(abs({v}))) ELSE {v} END"
-                          for v, w in zip(z, self.w)])
+        return self.bind([self.case([(f"{v} > 0", f"power({v}, 1e0 + {num(beta * w)} * sqrt(abs({v})))")], v) for v, w in zip(z, self.w)])
 
     def times(self, weights, z):
         return self.bind([f"({num(a)} * {v})" for a, v in zip(weights, z)])
@@ -196,7 +198,7 @@ class Builder:
     def f4(self):
         z = self.osz(self.shifted())
         s = [10 ** (w / 2) for w in self.w]
-        z = self.bind([f"(CASE WHEN {v} > 0 THEN {num(10 * a)} ELSE {num(a)} END * {v})" if i % 2 == 0 else f"({num(a)} * {v})"
+        z = self.bind([f"({self.case([(f'{v} > 0', num(10 * a))], num(a))} * {v})" if i % 2 == 0 else f"({num(a)} * {v})"
                        for i, (v, a) in enumerate(zip(z, s))])
         return f"{self.rastrigin(z)} + {self.pen(100)}"
 
@@ -204,18 +206,17 @@ class Builder:
         terms = []
         for x, o, w in zip(self.x, self.opt, self.w):
             s = math.copysign(10 ** w, o)
-            terms.append(f"(5e0 * {num(abs(s))} - {num(s)} * CASE WHEN {x} * {num(o)} < 25e0 THEN {x} ELSE {num(o)} END)")
+            terms.append(f"(5e0 * {num(abs(s))} - {num(s)} * {self.case([(f'{x} * {num(o)} < 25e0', x)], num(o))})")
         return self.sum(terms)
 
     def f6(self):
         z = self.matrix(self.rot1() @ self.scaled(10) @ self.rot2(), self.shifted())
-        total = self.p.bind(self.sum([f"power(CASE WHEN {v} * {num(o)} > 0 THEN 100e0 ELSE 1e0 END * {v}, 2e0)"
-                                      for v, o in zip(z, self.opt)]))
+        total = self.p.bind(self.sum([f"power({self.case([(f'{v} * {num(o)} > 0', '100e0')], '1e0')} * {v}, 2e0)" for v, o in zip(z, self.opt)]))
         return f"power({self.osz([total])[0]}, 0.9e0)"
 
     def f7(self):
         z = self.matrix(self.scaled(10) @ self.rot2(), self.shifted())
-        steps = self.bind([f"(CASE WHEN abs({v}) > 0.5e0 THEN floor({v} + 0.5e0) ELSE floor(10e0 * {v} + 0.5e0) / 10e0 END)" for v in z])
+        steps = self.bind([f"({self.case([(f'abs({v}) > 0.5e0', f'floor({v} + 0.5e0)')], f'floor(10e0 * {v} + 0.5e0) / 10e0')})" for v in z])
         turned = self.matrix(self.rot1(), steps)
         total = self.sumsq(turned, [100 ** w for w in self.w])
         return f"0.1e0 * greatest(abs({z[0]}) * 1e-4, {total}) + {self.pen(1)}"

@@ -169,7 +169,7 @@ def add_expression(prog: Program, x: Sequence[str], name: str, rpn: Sequence[int
     compiler = Compiler(prog, x, semantics)
     v = compiler.compile(rpn, consts, rots)
     y = prog.bind(compiler.reduce(33, v)[0] if len(v) > 1 else v[0])
-    prog.output(name, f"CASE WHEN abs({y}) < {num(SMALL)} THEN 0e0 ELSE {y} + 0e0 END")
+    prog.output(name, prog.dialect.case([(f"abs({y}) < {num(SMALL)}", "0e0")], f"{y} + 0e0"))
     return name
 
 

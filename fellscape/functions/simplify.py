@@ -19,80 +19,93 @@ def literal(node) -> bool:
     return len(node) == 1 and node[0] <= 1
 
 
-def fixed(node) -> bool:
-    """No variable anywhere below."""
-    return literal(node) if len(node) == 1 else all(fixed(c) for c in node[1:])
-
-
-def scalar(node) -> bool:
-    if len(node) == 1:
-        return node[0] <= 1 or node[0] in (3, 7)
-    return (node[0] in REDUCERS and node[0] != 34) or all(scalar(c) for c in node[1:])
-
-
-def simpler_unary(op, a):
-    inner = a[0]
-    if op in REDUCERS and scalar(a):
-        return a
-    if op == 26 and inner in NEVER_NEGATIVE and len(a) == 2:
-        return a
-    if op in NEVER_NEGATIVE and inner == 26:
-        return (op, a[1])
-    if (op, inner) in UNDO:
-        return a[1]
-    if SWAP.get(op) == inner:
-        return (inner, a[2], a[1])
-    return (op, a)
-
-
-def without_constant(op, b):
-    """``c op (p q)`` of one family with a literal p or q, less that literal; None if there is none."""
-    if b[0] not in FAMILY or FAMILY[b[0]] != FAMILY[op]:
-        return None
-    if literal(b[2]):
-        return op, b[1]
-    if literal(b[1]):
-        plain = PLAIN[FAMILY[op]]
-        return (plain if op == b[0] else OPPOSITE[plain]), b[2]
-    return None
-
-
-def simpler_binary(op, a, b):
-    if fixed(a) and fixed(b):
-        return CONSTANT
-    absorbed = INVERSE_OF[op]
-    if b[0] == absorbed:
-        return (OPPOSITE[op], a, b[1])
-    if a[0] == absorbed and op in PLAIN:
-        return (OPPOSITE[op], b, a[1])
-    joined = a[0] in FAMILY and FAMILY[a[0]] == FAMILY[op] and any(literal(c) for c in a[1:])
-    if fixed(a) or joined:
-        shorter = without_constant(op, b)
-        if shorter:
-            return (shorter[0], a, shorter[1])
-    return (op, a, b)
-
-
-def one_pass(rpn):
+def parsed(rpn) -> tuple:
+    """Nodes ``(token, child, ...)`` of a token list."""
     stack = []
     for token in rpn:
         if token < 0 or token in OPERANDS:
             stack.append((token,))
         elif token in BINARY:
             b, a = stack.pop(), stack.pop()
-            stack.append(simpler_binary(token, a, b))
+            stack.append((token, a, b))
         else:
-            stack.append(simpler_unary(token, stack.pop()))
-    return flat(stack[0])
+            stack.append((token, stack.pop()))
+    return stack[0]
 
 
 def flat(node) -> list[int]:
     return [t for child in node[1:] for t in flat(child)] + [node[0]]
 
 
+def with_fewer_unary(node) -> tuple[tuple, bool]:
+    """The node after its children, and whether its value is a scalar."""
+    if len(node) == 1:
+        return node, node[0] <= 1 or node[0] in (3, 7)
+    if len(node) == 3:
+        (a, one), (b, two) = (with_fewer_unary(c) for c in node[1:])
+        return (node[0], a, b), one and two
+    op, (a, scalar) = node[0], with_fewer_unary(node[1])
+    if scalar and op in REDUCERS:
+        return a, True
+    if op == 26 and a[0] in NEVER_NEGATIVE:
+        new = a
+    elif op in NEVER_NEGATIVE and a[0] == 26:
+        new = (op, a[1])
+    elif (op, a[0]) in UNDO:
+        new = a[1]
+    elif SWAP.get(op) == a[0]:
+        new = (a[0], a[2], a[1])
+    else:
+        new = (op, a)
+    return new, scalar or (new[0] in REDUCERS and new[0] != 34)
+
+
+def without_constant(op, a, b):
+    """``a op (p q)`` of one family with a literal p or q, less that literal; whole if neither is one."""
+    if literal(b[2]):
+        return op, a, b[1]
+    if literal(b[1]):
+        plain = PLAIN[FAMILY[op]]
+        return (plain if op == b[0] else OPPOSITE[plain]), a, b[2]
+    return op, a, b
+
+
+def joined(op, a, b, fixed_a, fixed_b):
+    """A binary node after its children; the first case that applies decides, even where it changes nothing."""
+    family = lambda node: FAMILY.get(node[0], -1)
+    if b[0] in (21, 22):
+        return (OPPOSITE[op], a, b[1]) if INVERSE_OF[op] == b[0] else (op, a, b)
+    if op in PLAIN and a[0] == INVERSE_OF[op]:
+        return OPPOSITE[op], b, a[1]
+    if family(a) >= 0 and fixed_b:
+        return a if family(a) == FAMILY[op] and literal(a[1]) and literal(a[2]) else (op, a, b)
+    if family(b) == FAMILY[op] and (fixed_a or family(a) == FAMILY[op] and (literal(a[1]) or literal(a[2]))):
+        return without_constant(op, a, b)
+    return op, a, b
+
+
+def with_fewer_binary(node) -> tuple[tuple, bool]:
+    """The node after its children, and whether no variable occurs below."""
+    if len(node) == 1:
+        return node, literal(node)
+    if len(node) == 2:
+        a, fixed = with_fewer_binary(node[1])
+        return (node[0], a), fixed
+    (a, one), (b, two) = (with_fewer_binary(c) for c in node[1:])
+    return (CONSTANT, True) if one and two else (joined(node[0], a, b, one, two), False)
+
+
+def unary_pass(rpn) -> list[int]:
+    return flat(with_fewer_unary(parsed(rpn))[0])
+
+
+def binary_pass(rpn) -> list[int]:
+    return flat(with_fewer_binary(parsed(rpn))[0])
+
+
 def simplify(rpn) -> list[int]:
-    """Two passes: a rewrite can open the way for another one above it."""
-    return one_pass(one_pass(list(rpn)))
+    """Unary operators, then binary ones, and both again: a rewrite can open the way for another one above it."""
+    return binary_pass(unary_pass(binary_pass(unary_pass(rpn))))
 
 
 # How each token reads in the text of a function.

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fellscape.functions.columns import col, unit_hash
-from fellscape.functions.simplify import simplify, to_text
-from fellscape.operators.evaluate import expression_columns
-from fellscape.operators.tables import to_long
+from fellscape.functions.simplify import binary_pass, simplify, to_text, unary_pass
+from fellscape.operators.evaluate import expression_columns, expression_moments, expression_rows
+from fellscape.operators.tables import to_long, union_populations
+from fellscape.session import cut
 
 # How often each token is drawn, growth steps, and the shares of injected difficulty.
 OPERANDS = [1, 2, 3, 4, 5, 6, 7]
@@ -110,9 +111,16 @@ def inject_difficulty(rpn: Column, kind: Column) -> Column:
             .otherwise(inject_linkage(rpn, kind)))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def simplified(rpn: pd.Series) -> pd.Series:
-    return rpn.map(simplify)
+def _rewriting(pass_):
+    """A rewrite of each token list of a column; a list is a few dozen tokens."""
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(rpn: pd.Series) -> pd.Series:
+        return rpn.map(pass_, na_action="ignore")
+
+    return run
+
+
+simplified, fewer_unary, fewer_binary = _rewriting(simplify), _rewriting(unary_pass), _rewriting(binary_pass)
 
 
 @F.pandas_udf(T.StringType())
@@ -170,7 +178,7 @@ def function_checks(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("func"), F.col(f"b{k}").alias("n_bad"), F.col(f"v{k}").alias("variance"))
                       for k, c in enumerate(names)])
     return (row.select(F.explode(cells).alias("c")).select("c.*")
-            .withColumn("valid", (F.col("n_bad") == 0) & F.coalesce(F.col("variance") >= MIN_VARIANCE, F.lit(False))))
+            .withColumn("valid", _valid("variance", "n_bad")))
 
 
 def generation_stats(checks: DataFrame) -> DataFrame:
@@ -180,43 +188,67 @@ def generation_stats(checks: DataFrame) -> DataFrame:
         F.round(F.count_if("valid") / F.count(F.lit(1)), 2).alias("success_rate"))
 
 
-def first_n_valid(points: DataFrame, x: Sequence[str], n: int, seed: int = 42, batch: int = 24,
-                  max_batches: int = 50, id_col: str = "sample_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The first ``n`` valid functions by id: catalogue, values at the points (wide), checks.
+CATALOGUE_SCHEMA = "func_id long, name string, injection string, rpn array<int>, consts array<double>, rots array<array<array<double>>>, expr string"
+#: Candidates checked in one pass over the points; their token lists pass through the driver.
+MOST_CANDIDATES = 20_000
 
-    Candidates come in batches of ids, whose token lists are read on the driver to build the
-    columns; the points stay where they are. ``points`` is read once per batch.
-    """
+
+def _valid(variance: str, bad: str) -> Column:
+    return (F.col(bad) == 0) & F.coalesce(F.col(variance) >= MIN_VARIANCE, F.lit(False))
+
+
+def candidate_checks(points: DataFrame, x: Sequence[str], candidates: Sequence) -> DataFrame:
+    """``(func, n_bad, variance, valid)`` of any number of candidates, in one pass over the points."""
+    return expression_moments(points, x, candidates).select("func", "n_bad", "variance", _valid("variance", "n_bad").alias("valid"))
+
+
+def first_valid(points: DataFrame, x: Sequence[str], candidates: Sequence[dict], n: int) -> tuple[list[dict], DataFrame]:
+    """The first ``n`` valid candidates in their order, renamed ``rgf1`` and so on, and the checks of all."""
+    checks = cut(candidate_checks(points, x, candidates))
+    valid = {r["func"] for r in checks.where("valid").select("func").collect()}
+    chosen = [c for c in candidates if c["name"] in valid][:n]
+    return [{**c, "name": f"rgf{k + 1}"} for k, c in enumerate(chosen)], checks
+
+
+def _chosen(points: DataFrame, x: Sequence[str], n: int, seed: int, most: int) -> tuple[list[dict], DataFrame]:
+    """Drawn candidates in growing batches until ``n`` are valid; as a rule one or two passes over the points."""
     spark = points.sparkSession
-    chosen, checked = [], []
-    for k in range(max_batches):
-        ids = spark.range(k * batch, (k + 1) * batch, 1, 1).select(F.col("id").alias("func_id"))
+    points = cut(points.select(*[col(c) for c in x]))
+    found, checked, start, size = [], [], 0, max(64, 3 * n)
+    while len(found) < n and start < most:
+        size = min(size, MOST_CANDIDATES, most - start)
+        ids = spark.range(start, start + size).select(F.col("id").alias("func_id"))
         rows = [{**r.asDict(recursive=True), "name": f"g{r['func_id']}"} for r in generate_catalogue(ids, len(x), seed).collect()]
-        rows.sort(key=lambda r: r["func_id"])
-        wide, names = expression_columns(points, x, rows, keep=[id_col])
-        result = {r["func"]: r for r in function_checks(wide, names).collect()}
-        checked += [tuple(result[r["name"]]) for r in rows]
-        chosen += [r for r in rows if result[r["name"]]["valid"]]
-        if len(chosen) >= n:
-            break
-    else:
-        raise RuntimeError(f"{len(chosen)} of {n} functions are valid after {max_batches * batch} candidates")
-    chosen = [{**r, "name": f"rgf{i + 1}"} for i, r in enumerate(chosen[:n])]
-    wide, _ = expression_columns(points, x, chosen, keep=points.columns)
-    catalogue = spark.createDataFrame(
-        [(r["func_id"], r["name"], r["injection"], r["rpn"], r["consts"], r["rots"], r["expr"]) for r in chosen],
-        "func_id long, name string, injection string, rpn array<int>, consts array<double>, "
-        "rots array<array<array<double>>>, expr string")
-    checks = spark.createDataFrame(checked, "func string, n_bad long, variance double, valid boolean")
-    return catalogue, wide, checks
-
-
-def generate_responses(points: DataFrame, x: Sequence[str], n: int, seed: int = 42,
-                       id_col: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+        chosen, checks = first_valid(points, x, sorted(rows, key=lambda r: r["func_id"]), n - len(found))
+        found += chosen
+        checked.append(checks)
+        start, size = start + size, 2 * size
+    if len(found) < n:
+        raise RuntimeError(f"{len(found)} of {n} functions are valid after {start} candidates")
+    return [{**r, "name": f"rgf{k + 1}"} for k, r in enumerate(found)], union_populations(checked)
+
+
+def _catalogue_table(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
+    return spark.createDataFrame([tuple(r[c] for c in ("func_id", "name", "injection", "rpn", "consts", "rots", "expr")) for r in rows], CATALOGUE_SCHEMA)
+
+
+def first_n_valid(points: DataFrame, x: Sequence[str], n: int, seed: int = 42, id_col: str = "sample_id",
+                  most: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first ``n`` valid functions by id: catalogue, values beside the columns of ``points``, and the checks.
+
+    A candidate is valid if all its values are finite and their variance is at least ``MIN_VARIANCE``.  After ``most``
+    candidates the search gives up with an error.
+    """
+    rows, checks = _chosen(points, x, n, seed, most)
+    wide, _ = expression_columns(points, x, rows, keep=points.columns)
+    return _catalogue_table(points.sparkSession, rows), wide, checks
+
+
+def generate_responses(points: DataFrame, x: Sequence[str], n: int, seed: int = 42, id_col: str = "sample_id",
+                       most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Catalogue and long responses of the first ``n`` valid functions."""
-    catalogue, wide, _ = first_n_valid(points, x, n, seed, id_col=id_col)
-    names = [f"rgf{i + 1}" for i in range(n)]
-    return catalogue, to_long(wide.select(id_col, *names), names)
+    rows, _ = _chosen(points, x, n, seed, most)
+    return _catalogue_table(points.sparkSession, rows), expression_rows(points, x, rows, id_col)
 
 
 def evaluate_by_id(points: DataFrame, x: Sequence[str], catalogue: DataFrame, names: Sequence[str],

@@ -190,28 +190,104 @@ add("inject_linkage", lambda spark, sf: cat.generate_trees(_candidates(spark, sf
     .select("func_id", "injection", F.array_join(F.transform("injected", lambda t: t.cast("string")), " ").alias("rpn")))
 
 
-def _simplified(spark, sf):
-    trees = cat.generate_trees(_candidates(spark, sf), 42)
-    return trees.select("func_id", F.size("injected").alias("before"), cat.simplified("injected").alias("rpn"))
-
-
-add("simplify_unary", lambda spark, sf: _simplified(spark, sf).agg(
-    F.sum("before").alias("tokens_before"), F.sum(F.size("rpn")).alias("tokens_after"),
-    F.sum(F.size(F.filter("rpn", lambda t: t > 20))).alias("unary_left")))
-add("simplify_binary", lambda spark, sf: _simplified(spark, sf).agg(
-    F.sum("before").alias("tokens_before"), F.sum(F.size("rpn")).alias("tokens_after"),
-    F.sum(F.size(F.filter("rpn", lambda t: (t > 10) & (t < 20)))).alias("binary_left")))
+def _tokens(column):
+    return F.array_join(F.transform(column, lambda t: t.cast("string")), " ")
+
+
+add("simplified_trees", lambda spark, sf: cat.generate_trees(_candidates(spark, sf), 42)
+    .select("func_id", _tokens("injected").alias("before"), _tokens(cat.simplified("injected")).alias("rpn")))
+
+
+# Token lists over parts, in which every pair of operators of the rewrite rules occurs.
+_UNARY_SHAPES = """CASE WHEN p_partkey % 4 = 3 THEN array(2, 3, 11 + p_size % 4, 21 + p_partkey div 4 % 3)
+ELSE array(element_at(array(2, 3, 1, 7, -3), cast(p_partkey % 5 + 1 AS INT)), 21 + p_size % 16, cast(21 + p_partkey div 5 % 16 AS INT)) END"""
+_LEAF = "element_at(array(1, -2, 2, 3), cast(({}) % 4 + 1 AS INT))"
+_SIGN = "element_at(array(array(), array(21), array(22)), cast(({}) % 3 + 1 AS INT))"
+
+
+add("simplify_unary", lambda spark, sf: v.table(spark, sf, "part").select("p_partkey", F.expr(_UNARY_SHAPES).cast("array<int>").alias("before"))
+    .select("p_partkey", _tokens("before").alias("before"), _tokens(cat.fewer_unary("before")).alias("rpn")),
+    """WITH t AS (SELECT p_partkey, p_partkey % 4 = 3 AS two, ([2, 3, 1, 7, -3])[p_partkey % 5 + 1] AS leaf, 21 + p_size % 16 AS low,
+21 + p_partkey // 5 % 16 AS high, 11 + p_size % 4 AS op, 21 + p_partkey // 4 % 3 AS top FROM part),
+u AS (SELECT *, leaf <= 1 OR leaf IN (3, 7) AS plain FROM t),
+w AS (SELECT *, CASE WHEN plain AND low >= 32 THEN [leaf] ELSE [leaf, low] END AS inner_list,
+      CASE WHEN plain AND low >= 32 THEN leaf ELSE low END AS inner_top, plain OR low IN (32, 33, 35, 36) AS scalar FROM u)
+SELECT p_partkey, CASE WHEN two THEN concat_ws(' ', 2, 3, op, top) ELSE concat_ws(' ', leaf, low, high) END AS before, array_to_string(
+  CASE WHEN two THEN CASE WHEN (top = 21 AND op = 12) OR (top = 22 AND op = 14) THEN [3, 2, op] ELSE [2, 3, op, top] END
+       WHEN scalar AND high >= 32 THEN inner_list
+       WHEN high = 26 AND inner_top IN (25, 26, 30) THEN inner_list
+       WHEN high IN (25, 26, 30) AND inner_top = 26 THEN [leaf, high]
+       WHEN (high = inner_top AND high IN (21, 22)) OR (high, inner_top) IN ((24, 25), (25, 24), (30, 31), (31, 30)) THEN [leaf]
+       ELSE list_append(inner_list, high) END, ' ') AS rpn FROM w""")
+
+_BINARY_SHAPES = f"""CASE p_partkey % 3
+WHEN 0 THEN concat(array({_LEAF.format('p_size')}), {_SIGN.format('p_partkey div 3')}, array({_LEAF.format('p_partkey div 9')}), {_SIGN.format('p_size div 4')},
+                   array(cast(11 + p_partkey div 36 % 4 AS INT)))
+WHEN 1 THEN array({_LEAF.format('p_size')}, {_LEAF.format('p_partkey div 3')}, {_LEAF.format('p_partkey div 12')}, cast(11 + p_size div 4 % 4 AS INT),
+                  cast(11 + p_partkey div 48 % 4 AS INT))
+ELSE array({_LEAF.format('p_size')}, {_LEAF.format('p_size div 4')}, cast(11 + p_partkey div 3 % 4 AS INT), {_LEAF.format('p_partkey div 12')},
+           {_LEAF.format('p_partkey div 48')}, cast(11 + p_partkey div 192 % 4 AS INT), cast(11 + p_size div 16 % 4 AS INT)) END"""
+
+add("simplify_binary", lambda spark, sf: v.table(spark, sf, "part").select("p_partkey", F.expr(_BINARY_SHAPES).cast("array<int>").alias("before"))
+    .select("p_partkey", _tokens("before").alias("before"), _tokens(cat.fewer_binary("before")).alias("rpn")),
+    """WITH leaf AS (SELECT [1, -2, 2, 3] AS l, [[]::INTEGER[], [21], [22]] AS s),
+t AS (SELECT p_partkey, p_partkey % 3 AS shape,
+      CASE p_partkey % 3 WHEN 0 THEN l[p_size % 4 + 1] WHEN 1 THEN l[p_size % 4 + 1] ELSE l[p_size % 4 + 1] END AS a,
+      CASE p_partkey % 3 WHEN 0 THEN l[p_partkey // 9 % 4 + 1] WHEN 1 THEN l[p_partkey // 3 % 4 + 1] ELSE l[p_size // 4 % 4 + 1] END AS b,
+      l[p_partkey // 12 % 4 + 1] AS c, l[p_partkey // 48 % 4 + 1] AS d, s[p_partkey // 3 % 3 + 1] AS sign_a, s[p_size // 4 % 3 + 1] AS sign_b,
+      CASE p_partkey % 3 WHEN 0 THEN 11 + p_partkey // 36 % 4 WHEN 1 THEN 11 + p_size // 4 % 4 ELSE 11 + p_partkey // 3 % 4 END AS op1,
+      CASE p_partkey % 3 WHEN 1 THEN 11 + p_partkey // 48 % 4 ELSE 11 + p_partkey // 192 % 4 END AS op2, 11 + p_size // 16 % 4 AS op3
+      FROM part, leaf),
+f AS (SELECT *, a <= 1 AS ca, b <= 1 AS cb, c <= 1 AS cc, d <= 1 AS cd, op1 <= 12 AS sum1, op2 <= 12 AS sum2, op3 <= 12 AS sum3,
+      CASE op1 WHEN 11 THEN 12 WHEN 12 THEN 11 WHEN 13 THEN 14 ELSE 13 END AS other1 FROM t),
+q AS (SELECT *, ca AND cb AS left_fixed, cc AND cd AS right_fixed FROM f)
+SELECT p_partkey, array_to_string(CASE shape WHEN 0 THEN list_concat([a], sign_a, [b], sign_b, [op1]) WHEN 1 THEN [a, b, c, op1, op2]
+                                  ELSE [a, b, op1, c, d, op2, op3] END, ' ') AS before,
+array_to_string(CASE shape
+ WHEN 0 THEN CASE WHEN ca AND cb THEN [1]
+   WHEN len(sign_b) > 0 THEN CASE WHEN (sign_b[1] = 21) = sum1 THEN list_concat([a], sign_a, [b, other1]) ELSE list_concat([a], sign_a, [b], sign_b, [op1]) END
+   WHEN sign_a[1] = 21 AND op1 = 11 THEN [b, a, 12] WHEN sign_a[1] = 22 AND op1 = 13 THEN [b, a, 14]
+   ELSE list_concat([a], sign_a, [b], sign_b, [op1]) END
+ WHEN 1 THEN CASE WHEN ca AND cb AND cc THEN [1] WHEN cb AND cc THEN [a, 1, op2]
+   WHEN ca AND sum1 = sum2 AND cc THEN [a, b, op2]
+   WHEN ca AND sum1 = sum2 AND cb THEN [a, c, CASE WHEN op1 = op2 THEN CASE WHEN sum1 THEN 11 ELSE 13 END ELSE CASE WHEN sum1 THEN 12 ELSE 14 END END]
+   ELSE [a, b, c, op1, op2] END
+ ELSE CASE WHEN left_fixed AND right_fixed THEN [1] WHEN right_fixed THEN [a, b, op1, 1, op3]
+   WHEN sum2 = sum3 AND (left_fixed OR (sum1 = sum3 AND (ca OR cb))) AND cd
+     THEN list_concat(CASE WHEN left_fixed THEN [1] ELSE [a, b, op1] END, [c, op3])
+   WHEN sum2 = sum3 AND (left_fixed OR (sum1 = sum3 AND (ca OR cb))) AND cc
+     THEN list_concat(CASE WHEN left_fixed THEN [1] ELSE [a, b, op1] END,
+                      [d, CASE WHEN op2 = op3 THEN CASE WHEN sum3 THEN 11 ELSE 13 END ELSE CASE WHEN sum3 THEN 12 ELSE 14 END END])
+   ELSE list_concat(CASE WHEN left_fixed THEN [1] ELSE [a, b, op1] END, [c, d, op2, op3]) END END, ' ') AS rpn FROM q""")
 add("to_rpn", lambda spark, sf: cat.generate_trees(_candidates(spark, sf), 42)
     .select("func_id", F.array_join(F.transform("grown", lambda t: t.cast("string")), " ").alias("rpn")))
 
 
-def _generated(spark, sf, n):
-    return cat.generate_responses(v.part_inputs(spark, sf), X, n, seed=42)
+add("random_responses", lambda spark, sf: cat.generate_responses(v.part_inputs(spark, sf), X, 5, seed=42)[1])
+
+# Candidates in an order in which invalid ones come between valid ones.
+ORDER = ["rgf8", "rgf3", "rgf7", "rgf1", "rgf5", "rgf2", "rgf4"]
+CANDIDATES = [{**next(r for r in FIXED if r["name"] == name), "func_id": k} for k, name in enumerate(ORDER)]
+_FIRST = f"""{_CHECKS}, o AS (SELECT func, pos FROM (VALUES {', '.join(f"('{n}', {k})" for k, n in enumerate(ORDER))}) AS o(func, pos)),
+f AS (SELECT func, 'rgf' || row_number() OVER (ORDER BY pos) AS label, row_number() OVER (ORDER BY pos) AS place
+      FROM c JOIN o USING (func) WHERE n_bad = 0 AND variance >= 1e-10 QUALIFY place <= 4)"""
+
+
+def _first_four(spark, sf):
+    points = v.part_inputs(spark, sf)
+    return points, cat.first_valid(points, X, CANDIDATES, 4)[0]
+
+
+@query("generate_responses", f"WITH {_FIRST} SELECT sample_id, label, {v.t('y')} AS y FROM l JOIN f USING (func)")
+def generate_responses(spark, sf):
+    points, rows = _first_four(spark, sf)
+    return evaluate.expression_rows(points, X, rows).withColumn("y", tidy("y"))
 
 
-add("generate_responses", lambda spark, sf: _generated(spark, sf, 5)[1])
-add("first_n_valid", lambda spark, sf: _generated(spark, sf, 5)[1].groupBy("label")
-    .agg(F.count("*").alias("n"), F.var_pop("y").alias("variance")))
+@query("first_n_valid", f"WITH {_FIRST} SELECT label, count(*) AS n, {v.t('var_pop(y)')} AS variance FROM l JOIN f USING (func) GROUP BY label")
+def first_n_valid(spark, sf):
+    points, rows = _first_four(spark, sf)
+    return evaluate.expression_moments(points, X, rows).select(F.col("func").alias("label"), "n", tidy("variance").alias("variance"))
 
 
 def _stored(spark, sf):
