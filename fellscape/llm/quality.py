@@ -24,11 +24,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from fellscape.llm.common import broadcast_if_small, fresh
+from fellscape.llm.common import binary_rows, broadcast_if_small, fresh
 from fellscape.session import cut
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
+BATCH_BYTES = 8 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -94,7 +95,7 @@ def with_measures(docs: DataFrame, text: str = "text", keep: Sequence[str] | Non
     schema = T.StructType([*source.schema.fields, *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in binary_rows(batches, raw, BATCH_BYTES):
             rows = [measures(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], names=[*kept, *names])
@@ -203,8 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: Sequ
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: Sequence[Rule] = RULES, risk: Risk = Risk()) -> DataFrame:
     """The documents that pass, whole, with their own columns in their order; texts are not shuffled."""
     thin = docs.select("doc_id", stratum_of(stratum).alias("stratum"), "text")
-    labelled = thin.join(labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
-    measured, _ = with_measures(labelled, keep=["doc_id", "stratum"])
+    measured, _ = with_measures(thin, keep=["doc_id", "stratum"])  # of all documents: labels meet counts, not texts
     found = cut(wide(cutoffs(cut(measured.withColumn("base_failed", base_failed())), labels, rules, risk), rules))
     found = broadcast_if_small(found)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
