@@ -21,6 +21,7 @@ BINS = 4096
 EXACT = 100_000  # distances left in an interval that are listed by value
 ALL = "*"  # the subset of all points, shared by the responses
 TILE = 1024
+MOST_BLOCKS = 32  # blocks of a tile; a task holds two tiles, whatever the number of points
 
 
 def bin_of(d: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
@@ -78,14 +79,15 @@ class PairDistances:
 
     Distances are computed once per block pair and serve all responses. Subsets are numbered by
     quantile; the subset of all points is shared by the responses under the label ``*``. Blocks lie
-    along a space-filling curve; a task compares two tiles of many blocks, and the tiles are as
-    many as the tasks need, so a row is copied once per tile whatever the number of rows. A later pass opens
-    only block pairs that can have a distance in a bin that is still open.
+    along a space-filling curve; a task compares two tiles of up to ``MOST_BLOCKS`` blocks, fewer where that
+    would leave tasks idle, so its memory does not depend on the number of rows, and a row is copied once per tile. A later pass
+    opens only block pairs that can have a distance in a bin that is still open; ``opened`` counts them.
     """
 
     def __init__(self, rows: DataFrame, x: Sequence[str], labels: Sequence[str], n_quantiles: int, n: int):
         self.rows, self.x, self.labels = rows, list(x), list(labels)
         self.nq, self.n = n_quantiles, n
+        self.opened = rows.sparkSession.sparkContext.accumulator(0)
 
     def keys(self, reps: Sequence[int]):
         own = [(label, k) for label in self.labels for k in range(self.nq)]
@@ -93,7 +95,7 @@ class PairDistances:
 
     def _tiles(self, spans, add, rows_of, columns, types):
         """``add(sum, key, distances)`` over the block pairs whose range meets the key's span; one result per tile pair."""
-        x, labels, nq = self.x, self.labels, self.nq
+        x, labels, nq, opened = self.x, self.labels, self.nq, self.opened
         number = {label: i for i, label in enumerate(labels)} | {ALL: ALL}
 
         def kernel(a, b, same):
@@ -109,6 +111,7 @@ class PairDistances:
                         wanted = {(label, key[2]): key for key, label in own if near <= spans[key][1] and far >= spans[key][0]}
                         if not wanted:
                             continue
+                        opened.add(1)
                         for label, k, d in subset_distances(p, right[j], same and i == j, list(wanted)):
                             if len(d):
                                 key = wanted[label, k]
@@ -116,11 +119,9 @@ class PairDistances:
             out = [rows_of(key, total) for key, total in sums.items() if total is not None]
             return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=columns)
 
-        tiles = max(1, math.ceil(math.sqrt(8 * task_count(self.rows.sparkSession))))
-        tile = max(TILE, math.ceil(self.n / tiles))
-        per_tile = max(1, math.ceil(tile / TILE))
         rows = self.rows.withColumnRenamed("_block", "_block_no")
         blocks = self.rows.agg(F.max("_block")).first()[0] or 0
+        per_tile = max(1, min(MOST_BLOCKS, math.ceil((blocks + 1) / math.sqrt(8 * task_count(self.rows.sparkSession)))))
         return tiled(rows, ["rep"], "id", (blocks // per_tile + 1) * per_tile, kernel, f"rep int, {types}", per_tile,
                      F.floor(F.col("_block_no") / per_tile).cast("int"))
 
@@ -218,7 +219,7 @@ def dispersion_features(points: DataFrame, x: Sequence[str], labels: Sequence[st
     """``disp.ratio_*`` and ``disp.diff_*`` of every response and quantile, mean and median."""
     xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
     slim = points.select("rep", col(id_col), *[col(c).alias(a) for c, a in zip([*x, *labels], [*xs, *ys])])
-    leveled = blocked(with_levels(slim, ys, quantiles, bound, lambda y, q: y <= q).drop(*ys).withColumnRenamed(id_col, "id"), xs, n, TILE)
+    leveled = blocked(with_levels(slim, ys, quantiles, bound, lambda y, q: y <= q).drop(*ys).withColumnRenamed(id_col, "id"), xs, TILE)
     longest = math.sqrt(sum((hi - lo) ** 2 for lo, hi in zip(bounds.lower, bounds.upper))) * (1 + 1e-9)
     pairs = PairDistances(leveled, xs, labels, len(quantiles), n)
     stats = cut(subset_statistics(pairs, reps, longest, points.sparkSession))

@@ -16,7 +16,8 @@ from fellscape.operators.tiles import distances
 from fellscape.session import cut
 
 TILE = 1024  # points of a block
-MAX_BLOCKS = 2048  # blocks of a repeat, whose boxes are read on the driver; blocks grow beyond that
+FAN = 32  # boxes of one level that share a box of the level above
+STRIP = 512  # boxes that the points of a block are compared with at a time
 AXES = 6  # leading inputs that the curve follows
 ROWS_PER_BUCKET = 100_000
 SLACK = 1e-12  # rounding of a box distance
@@ -62,8 +63,8 @@ def curve(x: Sequence[str], lows: Sequence[float], extent: float) -> Column:
     return out
 
 
-def blocked(points: DataFrame, xs: Sequence[str], n: int, tile: int, blocks: int | None = None) -> DataFrame:
-    """Points with ``_block``: stretches of about ``tile`` points along the curve, at most ``blocks``; column ``id`` breaks ties."""
+def blocked(points: DataFrame, xs: Sequence[str], tile: int) -> DataFrame:
+    """Points with ``_block``: stretches of ``tile`` points along the curve; column ``id`` breaks ties."""
     row = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{name}") for c in xs for name, f in (("lo", F.min), ("hi", F.max))]).first()
     if not row["n"]:
         return points.withColumn("_block", F.lit(0))
@@ -74,16 +75,63 @@ def blocked(points: DataFrame, xs: Sequence[str], n: int, tile: int, blocks: int
     borders = on_curve.agg(F.percentile_approx("_at", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] if buckets > 1 else []
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(borders))]), lambda b: b < F.col("_at"))) if borders else F.lit(0)
     placed = position_in_buckets(on_curve, bucket, ["_at", "id"], "_pos", ["rep"])
-    size = max(tile, math.ceil(n / blocks)) if blocks else tile
-    return cut(placed.withColumn("_block", F.floor(F.col("_pos") / size).cast("int")).drop("_pos", "_at"))
+    return cut(placed.withColumn("_block", F.floor(F.col("_pos") / tile).cast("int")).drop("_pos", "_at"))
 
 
-def boxes_of(rows: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> dict:
-    """Per repeat: lower and upper corners of the blocks and their smallest responses."""
-    found = rows.groupBy("rep", "_block").agg(*[F.min(c).alias(f"lo{c}") for c in xs], *[F.max(c).alias(f"hi{c}") for c in xs],
-                                              *[F.min(c).alias(f"min{c}") for c in ys]).orderBy("rep", "_block").toPandas()
-    return {int(rep): tuple(part[[f"{how}{c}" for c in names]].to_numpy(float) for how, names in (("lo", xs), ("hi", xs), ("min", ys)))
-            for rep, part in found.groupby("rep")}
+def box_levels(rows: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> list[DataFrame]:
+    """Boxes with their smallest responses: of blocks first, then of ``FAN`` neighbouring boxes each, up to at most ``FAN`` boxes a repeat."""
+    def boxes(df, node):
+        return cut(df.groupBy("rep", node.cast("int").alias("node")).agg(*[F.min(f"lo{c}").alias(f"lo{c}") for c in xs],
+                   *[F.max(f"hi{c}").alias(f"hi{c}") for c in xs], *[F.min(f"min{c}").alias(f"min{c}") for c in ys]))
+
+    leaves = rows.select("rep", "_block", *[F.col(c).alias(f"{how}{c}") for c in xs for how in ("lo", "hi")], *[F.col(c).alias(f"min{c}") for c in ys])
+    levels = [boxes(leaves, F.col("_block"))]
+    count = (levels[0].agg(F.max("node")).first()[0] or 0) + 1
+    while count > FAN:
+        levels.append(boxes(levels[-1], F.floor(F.col("node") / FAN)))
+        count = -(-count // FAN)
+    return levels
+
+
+def candidate_blocks(known: DataFrame, levels: Sequence[DataFrame], xs: Sequence[str], ys: Sequence[str]) -> DataFrame:
+    """``rep, _query, node`` and the boxes of blocks that may hold a nearer or a nearer better point for some point of a block.
+
+    The levels of boxes are descended from the top, all blocks at once; a pair of boxes goes on while it lies within the
+    loosest bound of the block.  Points for which no better one is known are bounded by the far corner of the nearest box that
+    must hold one for all of them; the points of least response need none.
+    """
+    n = range(len(ys))
+    least = levels[-1].groupBy("rep").agg(*[F.min(f"min{c}").alias(f"g{k}") for k, c in enumerate(ys)])
+    inf = float("inf")
+
+    def of(k):
+        """Found bound, largest and lowest open response of the points that can have a better one."""
+        nb, y, has = F.get("nb", F.lit(k)), F.col(ys[k]), F.col(ys[k]) > F.col(f"g{k}")
+        return [F.max(F.when(has & (nb < inf), nb)).alias(f"found{k}"), F.max(F.when(has, y)).alias(f"top{k}"),
+                F.min(F.when(has & (nb == inf), y)).alias(f"open{k}"), F.lit(inf).alias(f"far{k}")]
+
+    queries = (known.join(F.broadcast(least), "rep").groupBy("rep", F.col("_block").alias("_query")).agg(  # one row per repeat
+        *[F.min(c).alias(f"qlo{c}") for c in xs], *[F.max(c).alias(f"qhi{c}") for c in xs], F.max("nn").alias("nn"), *[a for k in n for a in of(k)]))
+    near = F.sqrt(sum(F.pow(F.greatest(F.col(f"lo{c}") - F.col(f"qhi{c}"), F.col(f"qlo{c}") - F.col(f"hi{c}"), F.lit(0.0)), 2) for c in xs)) * (1 - SLACK)
+    far = F.sqrt(sum(F.pow(F.greatest(F.col(f"hi{c}") - F.col(f"qlo{c}"), F.col(f"qhi{c}") - F.col(f"lo{c}")), 2) for c in xs)) * (1 + SLACK)
+    box = [f"{how}{c}" for c in xs for how in ("lo", "hi")] + [f"min{c}" for c in ys]
+    asked = [c for c in queries.columns if c not in ("rep", "_query")]
+    pairs = queries.join(F.broadcast(levels[-1]), "rep")  # at most FAN boxes a repeat
+    for level in range(len(levels) - 1, -1, -1):
+        pairs = pairs.withColumn("_near", near).withColumn("_far", far)
+        if ys:
+            bounds = pairs.groupBy("rep", "_query").agg(*[F.min(F.when(F.col(f"min{c}") < F.col(f"open{k}"), F.col("_far"))).alias(f"new{k}") for k, c in enumerate(ys)])
+            pairs = pairs.join(bounds, ["rep", "_query"])
+            pairs = pairs.withColumns({f"far{k}": F.least(f"far{k}", F.coalesce(f"new{k}", F.lit(inf))) for k in n})
+        keep = F.col("_near") <= F.col("nn")
+        for k, c in enumerate(ys):
+            bound = F.greatest(F.coalesce(f"found{k}", F.lit(-1.0)), F.when(F.col(f"open{k}").isNotNull(), F.col(f"far{k}")).otherwise(-1.0))
+            keep = keep | (F.coalesce(F.col(f"min{c}") < F.col(f"top{k}"), F.lit(False)) & (F.col("_near") <= bound))
+        pairs = cut(pairs.where(keep).select("rep", "_query", "node", *asked, *box))
+        if level:
+            below = levels[level - 1].withColumn("_up", F.floor(F.col("node") / FAN).cast("int"))
+            pairs = pairs.select("rep", "_query", F.col("node").alias("_up"), *asked).join(below, ["rep", "_up"]).drop("_up")
+    return pairs.where(F.abs(F.col("node") - F.col("_query")) > 1).select("rep", "_query", "node", *box)
 
 
 def nearest(a: pd.DataFrame, b: pd.DataFrame, xs: Sequence[str], ys: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,45 +151,52 @@ def nearest(a: pd.DataFrame, b: pd.DataFrame, xs: Sequence[str], ys: Sequence[st
     return nn, nb, ids
 
 
-def blocks_to_search(pdf: pd.DataFrame, query: int, boxes: tuple, xs: Sequence[str], ys: Sequence[str]) -> np.ndarray:
-    """Blocks that may hold a nearer neighbour or a nearer better point of some point of the block.
+def blocks_to_search(pdf: pd.DataFrame, boxes: pd.DataFrame, xs: Sequence[str], ys: Sequence[str]) -> np.ndarray:
+    """Of candidate blocks, those that may hold a nearer neighbour or a nearer better point of some point of the block.
 
     A point without a better one so far is bounded by the far corner of the nearest box that is known
     to hold one. Boxes without a smaller response are not opened, so a plateau costs no more than a slope.
     """
-    lo, hi, smallest = boxes
-    near, far = np.zeros((len(pdf), len(lo))), np.zeros((len(pdf), len(lo)))
-    for j, c in enumerate(xs):
-        v = pdf[c].to_numpy(float)[:, None]
-        near += np.maximum(np.maximum(lo[None, :, j] - v, v - hi[None, :, j]), 0) ** 2
-        far += np.maximum(np.abs(v - lo[None, :, j]), np.abs(v - hi[None, :, j])) ** 2
-    near, far = np.sqrt(near) * (1 - SLACK), np.sqrt(far) * (1 + SLACK)
-    open_ = np.ones(len(lo), bool)
-    open_[max(0, query - 1):query + 2] = False  # searched already
-    far_other = np.where(open_[None, :], far, np.inf).min(axis=1) if open_.any() else np.full(len(pdf), np.inf)
-    need = (near <= np.minimum(pdf["nn"].to_numpy(float), far_other)[:, None]).any(axis=0)
     found = np.stack(pdf["nb"]) if len(ys) else np.empty((len(pdf), 0))
-    for k, y in enumerate(ys):
-        better = smallest[None, :, k] < pdf[y].to_numpy(float)[:, None]
-        bound = np.minimum(found[:, k], np.where(better, far, np.inf).min(axis=1))
-        need |= ((near <= bound[:, None]) & better).any(axis=0)
-    return np.flatnonzero(need & open_)
+    bounds, nn = found.copy(), pdf["nn"].to_numpy(float)
+
+    def strips():
+        for start in range(0, len(boxes), STRIP):
+            part = boxes.iloc[start:start + STRIP]
+            near, far = np.zeros((len(pdf), len(part))), np.zeros((len(pdf), len(part)))
+            for c in xs:
+                v, lo, hi = pdf[c].to_numpy(float)[:, None], part[f"lo{c}"].to_numpy()[None, :], part[f"hi{c}"].to_numpy()[None, :]
+                near += np.maximum(np.maximum(lo - v, v - hi), 0) ** 2
+                far += np.maximum(np.abs(v - lo), np.abs(v - hi)) ** 2
+            better = [part[f"min{y}"].to_numpy()[None, :] < pdf[y].to_numpy(float)[:, None] for y in ys]
+            yield part, np.sqrt(near) * (1 - SLACK), np.sqrt(far) * (1 + SLACK), better
+
+    for _, _, far, better in strips():
+        for k in range(len(ys)):
+            bounds[:, k] = np.minimum(bounds[:, k], np.where(better[k], far, np.inf).min(axis=1))
+    wanted = []
+    for part, near, _, better in strips():
+        need = (near <= nn[:, None]).any(axis=0)
+        for k in range(len(ys)):
+            need |= ((near <= bounds[:, k:k + 1]) & better[k]).any(axis=0)
+        wanted.append(part["node"].to_numpy()[need])
+    return np.concatenate(wanted) if wanted else np.empty(0, int)
 
 
 def neighbour_search(points: DataFrame, x: Sequence[str], labels: Sequence[str], n: int, id_col: str = "sample_id") -> DataFrame:
     """``(rep, label, sample_id, nn, nb, nb_id)``, exact, for any number of points and inputs.
 
-    Points are cut into blocks along a space-filling curve. Each block first searches itself and its
-    neighbours on the curve, which bounds every search; then it opens just the blocks whose box lies within a
-    bound and, for better points, holds a smaller response. Many inputs make boxes overlap and the
-    search compare more blocks, down to all of them; the result is the same.
+    Points are cut into blocks of constant size along a space-filling curve. Each block first searches itself and its
+    neighbours on the curve, which bounds every search; then levels of boxes, kept as tables, are descended to the blocks
+    whose box lies within a bound and, for better points, holds a smaller response, and just these are opened. A task
+    holds two blocks, or a block and the boxes asked for. Many inputs make boxes overlap and the search compare more blocks, down
+    to all of them; the result is the same.
     """
     labels = list(labels)
     xs, ys = [f"_x{j}" for j in range(len(x))], [f"_y{k}" for k in range(len(labels))]
     kind = points.schema[id_col].dataType.simpleString()
     rows = blocked(points.select("rep", col(id_col).alias("id"), *[col(c).cast("double").alias(a) for c, a in zip(x, xs)],
-                                 *[col(c).cast("double").alias(a) for c, a in zip(labels, ys)]), xs, n, TILE, MAX_BLOCKS)
-    boxes = boxes_of(rows, xs, ys)
+                                 *[col(c).cast("double").alias(a) for c, a in zip(labels, ys)]), xs, TILE)
     cells = ", ".join(f"{c} double" for c in [*xs, *ys])
     own = f"rep int, _block int, id {kind}, {cells}, nn double, nb array<double>, nb_id array<{kind}>"
 
@@ -156,11 +211,13 @@ def neighbour_search(points: DataFrame, x: Sequence[str], labels: Sequence[str],
     near = rows.withColumn("_query", F.explode(F.array(*[F.col("_block") + k for k in (-1, 0, 1)])))
     known = cut(near.groupBy("rep", "_query").applyInPandas(first, own))
 
-    def ask(key, pdf):
-        wanted = blocks_to_search(pdf, int(key[1]), boxes[int(key[0])], xs, ys)
+    def ask(key, a, boxes):
+        wanted = blocks_to_search(a, boxes, xs, ys) if len(a) and len(boxes) else np.empty(0, int)
         return pd.DataFrame({"rep": key[0], "_query": key[1], "_block": wanted}).astype("int32")
 
-    pairs = cut(known.groupBy("rep", "_block").applyInPandas(ask, "rep int, _query int, _block int"))
+    candidates = candidate_blocks(known, box_levels(rows, xs, ys), xs, ys)
+    pairs = cut(known.groupBy("rep", "_block").cogroup(candidates.withColumnRenamed("_query", "_block").groupBy("rep", "_block"))
+                .applyInPandas(ask, "rep int, _query int, _block int"))
     left = known.withColumnRenamed("_block", "_query").join(pairs, ["rep", "_query"])
     right = rows.join(pairs, ["rep", "_block"])
     group = ["rep", "_query", "_block"]

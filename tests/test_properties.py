@@ -252,6 +252,26 @@ def test_neighbours_over_blocks(spark, monkeypatch, d, tile):
             assert (r["nb"], r["nb_id"]) == want
 
 
+def test_neighbours_over_thousands_of_blocks(spark, monkeypatch):
+    """Boxes in three levels, none of which is read on the driver; few block pairs are asked for."""
+    rng = np.random.default_rng(6)
+    n = 8400
+    x = rng.uniform(-5, 5, (n, 2))
+    y = (x ** 2).sum(axis=1) + 3 * np.sin(3 * x).sum(axis=1)
+    df = spark.createDataFrame([(0, i, *map(float, p), float(q)) for i, (p, q) in enumerate(zip(x, y))], "rep int, sample_id long, x1 double, x2 double, a double")
+    monkeypatch.setattr(neighbours, "TILE", 4)
+    levels, candidates, real_levels, real = [], [], neighbours.box_levels, neighbours.candidate_blocks
+    monkeypatch.setattr(neighbours, "box_levels", lambda *a: levels.append(real_levels(*a)) or levels[-1])
+    monkeypatch.setattr(neighbours, "candidate_blocks", lambda *a: candidates.append(real(*a)) or candidates[-1])
+    got = {r["sample_id"]: r for r in neighbours.neighbour_search(df, X, ["a"], n).collect()}
+    assert [t.count() for t in levels[0]] == [2100, 66, 3] and candidates[0].count() < 0.05 * 2100 ** 2
+    for i in range(n):
+        d = np.sqrt((x[:, 0] - x[i, 0]) ** 2 + (x[:, 1] - x[i, 1]) ** 2)
+        d[i] = np.inf
+        better = np.where(y < y[i], d, np.inf)
+        assert got[i]["nn"] == pytest.approx(d.min()) and (got[i]["nb_id"] is None if np.isinf(better.min()) else got[i]["nb_id"] == better.argmin())
+
+
 def test_blocks_agree_with_one_block(spark, cloud, monkeypatch):
     df, x, y = cloud
     want = {(r["label"], r["feature"]): r["value"] for r in dispersion.dispersion_features(df, X, ["a", "b"], Bounds.cube(X), 300, [0]).collect()}
