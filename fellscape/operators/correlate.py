@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fellscape.functions.columns import col
-from fellscape.operators.tiles import tiled
+from fellscape.operators.ranks import kendall, spearman
 from fellscape.session import cut
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -53,49 +53,11 @@ def _pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("i", "j", F.try_divide(n * ab - sa * sb, F.sqrt(F.greatest(va, F.lit(0.0))) * F.sqrt(F.greatest(vb, F.lit(0.0)))).alias("r"))
 
 
-def _spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks of each pair's complete rows, then their correlation; one window per column pair."""
-    values = F.array(*[col(c).cast("double") for c in columns])
-    p = len(columns)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p) for j in range(i + 1, p)])
-    rows = (df.select(values.alias("v"), F.explode(pairs).alias("p"))
-            .select("p.i", "p.j", F.get("v", F.col("p.i")).alias("a"), F.get("v", F.col("p.j")).alias("b"))
-            .where("a IS NOT NULL AND b IS NOT NULL"))
-
-    def rank(c):
-        return (F.rank().over(W.partitionBy("i", "j").orderBy(c))
-                + (F.count(F.lit(1)).over(W.partitionBy("i", "j", c)) - 1) / 2.0)
-
-    ranked = rows.select("i", "j", rank("a").alias("ra"), rank("b").alias("rb"))
-    return ranked.groupBy("i", "j").agg(F.try_divide(
-        F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("r"))
-
-
-def _kendall(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Tau-b from blocks of rows: concordance and tie counts of all column pairs per block pair."""
-    ids = df.select(F.xxhash64(*[col(c) for c in columns]).alias("_id"), *[col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    cells = [f"c{k}" for k in range(len(columns))]
-    left, right = np.triu_indices(len(columns), k=1)
-
-    def kernel(a, b, same):
-        x, y = a[cells].to_numpy(float), b[cells].to_numpy(float)
-        i, j = np.nonzero(np.triu(np.ones((len(x), len(y)), dtype=bool), k=1) if same else np.ones((len(x), len(y)), dtype=bool))
-        d = x[i] - y[j]
-        known = (~np.isnan(d)).astype(float)
-        sign = np.sign(np.nan_to_num(d))
-        c, t = sign.T @ sign, (sign * sign).T @ known
-        return pd.DataFrame({"i": left, "j": right, "c": c[left, right], "ta": t[left, right], "tb": t[right, left]})
-
-    parts = tiled(ids, [], "_id", ids.count(), kernel, "i int, j int, c double, ta double, tb double", tile=256)
-    sums = parts.groupBy("i", "j").agg(F.sum("c").alias("c"), F.sum("ta").alias("ta"), F.sum("tb").alias("tb"))
-    return sums.select("i", "j", F.try_divide(F.col("c"), F.sqrt("ta") * F.sqrt("tb")).alias("r"))
-
-
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """Upper triangle ``(ord_a, ord_b, feat_a, feat_b, r)``, pairwise complete; constants give NULL."""
     if method not in METHODS:
         raise ValueError(f"{method} is not defined, use one of {METHODS}")
-    how = {"pearson": _pearson, "spearman": _spearman, "kendall": _kendall}[method]
+    how = {"pearson": _pearson, "spearman": spearman, "kendall": kendall}[method]
     return _named(how(df, list(columns)), columns)
 
 
