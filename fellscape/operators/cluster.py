@@ -9,64 +9,102 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fellscape.functions.columns import col
-from fellscape.operators.tiles import distances, tiled
+from fellscape.operators.tiles import distances
 from fellscape.session import cut
 
 
-def _nearest(clusters: DataFrame, n: int) -> DataFrame:
-    """``(leaf, other, height)``: the cluster each cluster would merge with at the least height.
+TILE = 1024
+#: With this many clusters left the rest of the tree is built in one task.
+FEW = 1024
+MERGES = "round int, leaf_a long, leaf_b long, height double, size long"
 
-    Blocks of clusters are compared; every cluster gets one candidate per block. Ties go to the
-    smaller leaf, which leaves at least one mutual pair in every round.
+
+def ward_heights(sizes_a: np.ndarray, centres_a: np.ndarray, sizes_b: np.ndarray, centres_b: np.ndarray) -> np.ndarray:
+    na, nb = sizes_a.astype(float)[:, None], sizes_b.astype(float)[None, :]
+    return np.sqrt(2 * na * nb / (na + nb)) * distances(centres_a, centres_b)
+
+
+def _nearest(queries: DataFrame, clusters: DataFrame, n_queries: int, n: int) -> DataFrame:
+    """``(leaf, other, height)``: the cluster each queried cluster would merge with at the least height.
+
+    Blocks of queries meet blocks of clusters; every query gets one candidate per block. Ties go to the smaller leaf.
     """
-    def search(a, b, h):
+    asked, held = max(1, -(-n_queries // TILE)), max(1, -(-n // TILE))
+    block = lambda count: F.pmod(F.xxhash64("leaf"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = queries.select("leaf", "size", "centre", block(asked).alias("_q"), every(held).alias("_c"))
+    right = clusters.select("leaf", "size", "centre", every(asked).alias("_q"), block(held).alias("_c"))
+
+    def kernel(key, a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"leaf": [], "other": [], "height": []})
+        b = b.sort_values("leaf")
+        h = ward_heights(a["size"].to_numpy(), np.stack(a["centre"]), b["size"].to_numpy(), np.stack(b["centre"]))
+        h[a["leaf"].to_numpy()[:, None] == b["leaf"].to_numpy()[None, :]] = np.inf
         at = h.argmin(axis=1)
         return pd.DataFrame({"leaf": a["leaf"].to_numpy(), "other": b["leaf"].to_numpy()[at], "height": h[np.arange(len(a)), at]})
 
-    def kernel(a, b, same):
-        a = a.sort_values("leaf")
-        b = a if same else b.sort_values("leaf")
-        na, nb = a["size"].to_numpy(float)[:, None], b["size"].to_numpy(float)[None, :]
-        h = np.sqrt(2 * na * nb / (na + nb)) * distances(np.stack(a["centre"]), np.stack(b["centre"]))
-        if same:
-            np.fill_diagonal(h, np.inf)
-            return search(a, b, h)
-        return pd.concat([search(a, b, h), search(b, a, h.T)], ignore_index=True)
-
-    found = tiled(clusters, [], "leaf", n, kernel, "leaf long, other long, height double")
+    found = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(kernel, "leaf long, other long, height double")
     return (found.where(F.col("height") < float("inf")).groupBy("leaf")
             .agg(F.min(F.struct("height", "other")).alias("b")).select("leaf", F.col("b.other").alias("other"), F.col("b.height").alias("height")))
 
 
+def _rest(clusters: DataFrame, start: int) -> DataFrame:
+    """The merges of at most ``FEW`` clusters, round by round in one task."""
+    def run(key, pdf):
+        pdf = pdf.sort_values("leaf")
+        leaf, size, centre, out, done = pdf["leaf"].to_numpy(), pdf["size"].to_numpy(), np.stack(pdf["centre"]).astype(float), [], start
+        while len(leaf) > 1:
+            h = ward_heights(size, centre, size, centre)
+            np.fill_diagonal(h, np.inf)
+            other = h.argmin(axis=1)
+            a = np.flatnonzero((other[other] == np.arange(len(leaf))) & (np.arange(len(leaf)) < other))
+            b, height = other[a], h[a, other[a]]
+            total = size[a] + size[b]
+            centre[a] = (centre[a] * size[a][:, None] + centre[b] * size[b][:, None]) / total[:, None]
+            size[a] = total
+            out.append(pd.DataFrame({"round": done, "leaf_a": leaf[a], "leaf_b": leaf[b], "height": height, "size": total}))
+            stays = np.setdiff1d(np.arange(len(leaf)), b)
+            leaf, size, centre, done = leaf[stays], size[stays], centre[stays], done + 1
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["round", "leaf_a", "leaf_b", "height", "size"])
+
+    return clusters.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, MERGES)
+
+
 def ward_rounds(df: DataFrame, columns: Sequence[str], leaf: str) -> DataFrame:
     """``(round, leaf_a, leaf_b, height, size)``: all mutual nearest pairs merge in each round.
 
-    Ward heights never fall below those of the parts, so merging every mutual pair at once gives
-    the same tree as one merge at a time. A cluster is named by its smallest leaf.
+    Ward heights never fall below those of the parts, so merging every mutual pair at once gives the same tree as one merge
+    at a time, and a cluster keeps its nearest other one until either merges: a round searches for the merged clusters and
+    for those that lost theirs. A cluster is named by its smallest leaf.
     """
     clusters = cut(df.select(col(leaf).cast("long").alias("leaf"), F.lit(1).cast("long").alias("size"),
                              F.array(*[col(c).cast("double") for c in columns]).alias("centre")))
-    n, d, done, merges = clusters.count(), len(columns), 0, None
-    while n > 1:
-        best = _nearest(clusters, n)
+    n, d, done, merges, kept = clusters.count(), len(columns), 0, None, None
+    if n < 2:
+        raise ValueError("clustering needs at least two rows")
+    while n > FEW:
+        lost = clusters if kept is None else clusters.join(kept.select("leaf"), "leaf", "left_anti")
+        lost = cut(lost)
+        found = _nearest(lost, clusters, lost.count(), n)
+        best = cut(found if kept is None else kept.unionByName(found))
         mutual = (best.groupBy(F.least("leaf", "other").alias("leaf_a"), F.greatest("leaf", "other").alias("leaf_b"))
                   .agg(F.count(F.lit(1)).alias("votes"), F.max("height").alias("height")).where("votes = 2").drop("votes"))
-        named = clusters.join(mutual.select(F.col("leaf_b").alias("leaf"), F.col("leaf_a").alias("into"), "height"), "leaf", "left")
-        weighted = F.transform("centre", lambda v: v * F.col("size"))
-        joined = (named.withColumn("into", F.coalesce("into", "leaf")).withColumn("w", weighted).groupBy("into").agg(
-            F.sum("size").alias("size"), F.max("height").alias("height"), F.max(F.when(F.col("leaf") != F.col("into"), F.col("leaf"))).alias("leaf_b"),
-            *[F.sum(F.get("w", F.lit(j))).alias(f"s{j}") for j in range(d)])
-            .select(F.col("into").alias("leaf"), "size", "leaf_b", "height",
-                    F.array(*[F.col(f"s{j}") / F.col("size") for j in range(d)]).alias("centre")))
-        clusters = cut(joined)
-        new = (clusters.where("leaf_b IS NOT NULL")
-               .select(F.lit(done).alias("round"), F.col("leaf").alias("leaf_a"), "leaf_b", "height", "size"))
+        mutual = cut(mutual)
+        merged = mutual.count()
+        if not merged:  # ties that were kept in a circle: search anew, where they go to the smaller leaf
+            kept = None
+            continue
+        named = clusters.join(mutual.select(F.col("leaf_b").alias("leaf"), F.col("leaf_a").alias("into")), "leaf", "left").withColumn("into", F.coalesce("into", "leaf"))
+        joined = named.groupBy("into").agg(F.sum("size").alias("total"), *[F.sum(F.get("centre", F.lit(j)) * F.col("size")).alias(f"s{j}") for j in range(d)])
+        clusters = cut(joined.select(F.col("into").alias("leaf"), F.col("total").alias("size"), F.array(*[F.col(f"s{j}") / F.col("total") for j in range(d)]).alias("centre")))
+        gone = mutual.select(F.explode(F.array("leaf_a", "leaf_b")).alias("leaf"))
+        kept = cut(best.join(gone, "leaf", "left_anti").join(gone.withColumnRenamed("leaf", "other"), "other", "left_anti").select("leaf", "other", "height"))
+        new = mutual.join(clusters.select(F.col("leaf").alias("leaf_a"), "size"), "leaf_a").select(F.lit(done).alias("round"), "leaf_a", "leaf_b", "height", "size")
         merges = new if merges is None else merges.unionAll(new)
-        clusters = clusters.select("leaf", "size", "centre")
-        n, done = clusters.count(), done + 1
-    if merges is None:
-        raise ValueError("clustering needs at least two rows")
-    return cut(merges)
+        n, done = n - merged, done + 1
+    rest = _rest(clusters, done)
+    return cut(rest if merges is None else merges.unionAll(rest))
 
 
 def ward_linkage(df: DataFrame, columns: Sequence[str], leaf: str) -> DataFrame:

@@ -314,6 +314,24 @@ def test_ward(spark):
     assert flat.select("cluster").distinct().count() == 3  # the two highest merges are cut
 
 
+@pytest.mark.parametrize("tied", [False, True])
+def test_ward_rounds_search_changed_clusters_only(spark, monkeypatch, tied):
+    rng = np.random.default_rng(3)
+    pts = rng.normal(size=(70, 2)) if not tied else np.stack(np.meshgrid(np.arange(6.0), np.arange(6.0)), -1).reshape(-1, 2)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "leaf long, a double, b double")
+    key = lambda r: (r["leaf_a"], r["leaf_b"])
+    want = {key(r): r["height"] for r in cluster.ward_rounds(df, ["a", "b"], "leaf").collect()}
+    asked, real = [], cluster._nearest
+    monkeypatch.setattr(cluster, "_nearest", lambda q, c, nq, n: asked.append((nq, n)) or real(q, c, nq, n))
+    monkeypatch.setattr(cluster, "FEW", 6)
+    monkeypatch.setattr(cluster, "TILE", 8)
+    got = {key(r): r["height"] for r in cluster.ward_rounds(df, ["a", "b"], "leaf").collect()}
+    assert len(got) == len(pts) - 1 and sorted(got.values()) == pytest.approx(sorted(want.values()))
+    assert asked[0][0] == asked[0][1] == len(pts) and any(nq < n for nq, n in asked[1:])
+    if not tied:
+        assert got == pytest.approx(want)
+
+
 def test_study(spark, sf):
     study = Study(bounds=v.PART_BOUNDS, responses=("y1", "flat"), bootstrap=False, fids=(1, 2, 3), generated=1,
                   families=("ela_meta", "ela_distr", "pca"))
