@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
@@ -182,12 +183,45 @@ def _flat(df):
 
 
 add("generate_catalogue", lambda spark, sf: _flat(_catalogue(spark, sf)))
-add("token_weights", lambda spark, sf: cat.token_frequencies(cat.generate_trees(_candidates(spark, sf), 42)))
+def _draws(what, *ids):
+    """The uniform number of a seed, a purpose and ids, in SQL."""
+    parts = ", ':', ".join([f"'42:{what}'", *ids])
+    return f"(CAST('0x' || substr(md5(concat({parts})), 1, 12) AS BIGINT) / {float(1 << 48)!r}::DOUBLE)"
+
+
+def _picked(u, tokens, weights):
+    """The first token whose cumulative share reaches the number."""
+    shares = [f"{c / sum(weights)!r}::DOUBLE" for c in accumulate(weights)]
+    return f"({list(tokens)})[1 + len(list_filter([{', '.join(shares)}], lambda c: c < {u}))]"
+
+
+# Token lists grown leaf by leaf: all weights are powers of one half, so their sums are exact in any order.
+_TREES = f"""RECURSIVE g AS (
+  SELECT p_partkey AS func_id, 0 AS k, {cat.MIN_STEPS} + CAST(floor({_draws('steps', 'p_partkey')} * {cat.MAX_STEPS - cat.MIN_STEPS + 1}) AS INTEGER) AS steps,
+         [2, 33] AS t, [1.0::DOUBLE, 0.0::DOUBLE] AS w FROM part
+  UNION ALL
+  SELECT func_id, k + 1, steps, list_concat(t[1:pos], CASE WHEN op > 20 THEN [t[pos + 1], op] WHEN side < 0.5 THEN [t[pos + 1], operand, op] ELSE [operand, t[pos + 1], op] END, t[pos + 2:]),
+         list_concat(w[1:pos], CASE WHEN op > 20 THEN [w[pos + 1], 0.0::DOUBLE] ELSE [w[pos + 1] / 2, w[pos + 1] / 2, 0.0::DOUBLE] END, w[pos + 2:])
+  FROM (SELECT *, len(list_filter(range(1, len(w) + 1), lambda i: list_sum(list_slice(w, 1, i)) <= leaf)) AS pos,
+               {_picked('u_op', cat.OPERATORS, cat.OPERATOR_WEIGHTS)} AS op, {_picked('u_operand', cat.OPERANDS, cat.OPERAND_WEIGHTS)} AS operand
+        FROM (SELECT *, {_draws('leaf', 'func_id', 'k + 1')} AS leaf, {_draws('operator', 'func_id', 'k + 1')} AS u_op,
+                     {_draws('operand', 'func_id', 'k + 1')} AS u_operand, {_draws('side', 'func_id', 'k + 1')} AS side FROM g WHERE k < steps))),
+grown AS (SELECT func_id, t AS grown, {_draws('injection', 'func_id')} AS u FROM g WHERE k = steps),
+kinds AS (SELECT *, CASE {' '.join(f"WHEN u < {limit!r} THEN '{name}'" for limit, name in cat.INJECTIONS)} ELSE 'none' END AS injection FROM grown),
+trees AS (SELECT func_id, injection, grown, CASE injection WHEN 'noise' THEN list_concat(grown, [7, 13]) WHEN 'flat' THEN list_concat(grown, [27])
+  WHEN 'multimodal' THEN list_concat(grown, grown, [28, 11]) WHEN 'highly_multimodal' THEN list_concat(grown, grown, [28, 23, 11])
+  {' '.join(f"WHEN '{name}' THEN flatten(list_transform(grown, lambda x: CASE WHEN x = 2 THEN {tokens} ELSE [x] END))" for name, tokens in cat.LINKAGE.items())}
+  ELSE grown END AS injected FROM kinds)"""
+
+add("token_weights", lambda spark, sf: cat.token_frequencies(cat.generate_trees(_candidates(spark, sf), 42)),
+    f"WITH {_TREES} SELECT token, count(*) AS n FROM (SELECT unnest(grown) AS token FROM trees) GROUP BY token")
 add("inject_difficulty", lambda spark, sf: cat.generate_trees(_candidates(spark, sf), 42).groupBy("injection")
-    .agg(F.count("*").alias("n"), F.avg(F.size("injected") - F.size("grown")).alias("added_tokens")))
+    .agg(F.count("*").alias("n"), F.avg(F.size("injected") - F.size("grown")).alias("added_tokens")),
+    f"WITH {_TREES} SELECT injection, count(*) AS n, avg(len(injected) - len(grown)) AS added_tokens FROM trees GROUP BY injection")
 add("inject_linkage", lambda spark, sf: cat.generate_trees(_candidates(spark, sf), 42)
     .where(F.col("injection").startswith("linkage") | (F.col("injection") == "index_scaled"))
-    .select("func_id", "injection", F.array_join(F.transform("injected", lambda t: t.cast("string")), " ").alias("rpn")))
+    .select("func_id", "injection", F.array_join(F.transform("injected", lambda t: t.cast("string")), " ").alias("rpn")),
+    f"WITH {_TREES} SELECT func_id, injection, array_to_string(injected, ' ') AS rpn FROM trees WHERE injection LIKE 'linkage%' OR injection = 'index_scaled'")
 
 
 def _tokens(column):
@@ -260,7 +294,8 @@ array_to_string(CASE shape
                       [d, CASE WHEN op2 = op3 THEN CASE WHEN sum3 THEN 11 ELSE 13 END ELSE CASE WHEN sum3 THEN 12 ELSE 14 END END])
    ELSE list_concat(CASE WHEN left_fixed THEN [1] ELSE [a, b, op1] END, [c, d, op2, op3]) END END, ' ') AS rpn FROM q""")
 add("to_rpn", lambda spark, sf: cat.generate_trees(_candidates(spark, sf), 42)
-    .select("func_id", F.array_join(F.transform("grown", lambda t: t.cast("string")), " ").alias("rpn")))
+    .select("func_id", F.array_join(F.transform("grown", lambda t: t.cast("string")), " ").alias("rpn")),
+    f"WITH {_TREES} SELECT func_id, array_to_string(grown, ' ') AS rpn FROM trees")
 
 
 add("random_responses", lambda spark, sf: cat.generate_responses(v.part_inputs(spark, sf), X, 5, seed=42)[1])
