@@ -1,10 +1,11 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-*Dictionaries.*  The ordinary dictionary is trained on windows of ordinary texts.  Toxic material is
-a small part of a toxic text, so its dictionary is trained on the passages that set toxic texts
-apart: byte strings that occur in a significantly larger share of the toxic fitting texts, each
-extended for as long as nearly all its occurrences agree.  Both dictionaries share the ordinary
-background, so that the lengths of a window differ only where toxic material is matched.
+*Dictionaries.*  The ordinary dictionary is trained on windows of ordinary texts.  Toxic material is a small part of a toxic text,
+and a dictionary trained on whole toxic texts holds mostly the same ordinary words (the README has its figures).  So the toxic
+dictionary is trained on the passages of toxic windows that set them apart: stretches covered by byte strings, also across
+words, that occur in a significantly larger share of the toxic fitting texts.  Every occurrence is a sample for the trainer, which weighs them
+by how often they come.  Both dictionaries end in the same ordinary background, so that the lengths of a window
+differ only where toxic material is matched.
 
 *Distance.*  A text is cut into windows of ``WINDOW`` words and each is compressed with both
 dictionaries.  The difference of the two lengths is the evidence of the window; the whole
@@ -47,7 +48,7 @@ class Fit:
     ordinary: int = 4500
     max_bytes: int = 32 << 10
     background_bytes: int = 110_000
-    toxic_bytes: int = 4_000
+    toxic_bytes: int = 48_000
     significance: float = 5.0
     min_texts: int = 4
     min_ratio: float = 5.0
@@ -61,16 +62,12 @@ def windows(words: Sequence[bytes]) -> list[bytes]:
     return [b" " + b" ".join(words[i:i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
 
 
-def grams(words: Iterable[bytes]) -> set[bytes]:
-    out = set()
-    for w in set(words):
-        w = b" " + w + b" "
-        out.update(w[i:i + GRAM] for i in range(len(w) - GRAM + 1))
-    return out
+def grams(words: Sequence[bytes]) -> set[bytes]:
+    return {w[i:i + GRAM] for w in windows(words) for i in range(len(w) - GRAM + 1)}
 
 
-def telling_passages(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]], fit: Fit) -> list[bytes]:
-    """Byte strings typical of toxic texts, most significant first."""
+def telling_grams(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes]], fit: Fit) -> set[bytes]:
+    """Byte strings typical of toxic texts."""
     ours, theirs = Counter(), Counter()
     for words in toxic:
         ours.update(grams(words))
@@ -83,31 +80,29 @@ def telling_passages(toxic: Sequence[list[bytes]], ordinary: Sequence[list[bytes
         p, q, both = ours[g] / n, theirs[g] / m, (ours[g] + theirs[g]) / (n + m)
         return (p - q) / math.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
 
-    chosen = {g for g in candidates if significance(g) >= fit.significance
-              and ours[g] / n >= fit.min_ratio * (theirs[g] + 0.5) / m}
-    nexts: dict[bytes, list[bytes]] = {}
-    befores: dict[bytes, list[bytes]] = {}
-    for g in chosen:
-        nexts.setdefault(g[:-1], []).append(g)
-        befores.setdefault(g[1:], []).append(g)
-    found, used = [], set()
-    for g in sorted(chosen, key=lambda x: (-significance(x), x)):
-        if g in used:
-            continue
-        run, used = g, used | {g}
-        for table, right in ((nexts, True), (befores, False)):
-            at = g
-            while True:
-                steps = [x for x in table.get(at[1:] if right else at[:-1], ()) if x not in used and ours[x] >= 0.9 * ours[at]]
-                if not steps:
-                    break
-                at = max(steps, key=lambda x: (ours[x], x))
-                used.add(at)
-                run = run + at[-1:] if right else at[:1] + run
-        # longer strings that only vary a string already found add nothing to it
-        if not any(f in run or run[:-1] in f or run[1:] in f for f in found):
-            found.append(run)
-    return found
+    return {g for g in candidates if significance(g) >= fit.significance and ours[g] / n >= fit.min_ratio * (theirs[g] + 0.5) / m}
+
+
+def passages(window: bytes, telling: set[bytes]) -> list[bytes]:
+    """Maximal stretches of a window that overlapping or touching telling strings cover."""
+    out, start, end = [], 0, -1
+    for i in range(len(window) - GRAM + 1):
+        if window[i:i + GRAM] in telling:
+            if i > end:
+                if end > 0:
+                    out.append(window[start:end])
+                start = i
+            end = i + GRAM
+    return [*out, window[start:end]] if end > 0 else out
+
+
+def dictionary(size: int, samples: Sequence[bytes], k: int) -> bytes:
+    """Content that the trainer of zstandard makes of samples; with too little to train on, the distinct samples, frequent ones last."""
+    try:
+        return zstandard.train_dictionary(size, list(samples), k=k, d=6).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        count = Counter(samples)
+        return b"".join(sorted(count, key=lambda x: (count[x], x)))[-size:]
 
 
 @dataclass
@@ -173,16 +168,10 @@ def train(sample: Sequence[tuple[bytes, int]], fit: Fit = Fit()) -> Model:
     if min(map(len, half.values())) < 2:
         return Model(b"", b"", None, rate)
     toxic, ordinary = ([words_of(t) for t in half[0, label]] for label in (1, 0))
-    background = [w for words in ordinary for w in windows(words)]
-    try:
-        base = zstandard.train_dictionary(fit.background_bytes, background, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text for the trainer
-        base = b"".join(background)[-fit.background_bytes:]
-    content = b""
-    for p in telling_passages(toxic, ordinary, fit):
-        if len(content) + len(p) <= fit.toxic_bytes and p not in content:
-            content = p + content
-    model = Model(base, content + base, None, rate)
+    base = dictionary(fit.background_bytes, [w for words in ordinary for w in windows(words)], 64)
+    telling = telling_grams(toxic, ordinary, fit)
+    own = dictionary(fit.toxic_bytes, [x for words in toxic for w in windows(words) for x in passages(w, telling)], 32)
+    model = Model(base, own + base, None, rate)
     texts = [*half[1, 1], *half[1, 0]]
     y = np.array([1.0] * len(half[1, 1]) + [0.0] * len(half[1, 0]))
     model.weights = logistic(model.features(texts, model.compressors()), y)

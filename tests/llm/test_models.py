@@ -138,3 +138,47 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     flipped = labels.selectExpr("doc_id", "quality", "CASE WHEN crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
     one, two = ({r["doc_id"]: r["score"] for r in toxicity.score(docs, x).collect()} for x in (labels, flipped))
     assert one == two
+
+
+def test_toxicity_window_by_window(spark):
+    """Every window compressed on its own with either dictionary, and the curve by hand."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(toxicity.sample(docs, labels))
+    assert model.weights and model.toxic != model.ordinary and model.toxic.endswith(model.ordinary)
+    plain, toxic = model.compressors()
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        cut = [b" " + b" ".join(w[i:i + toxicity.WINDOW]) + b" " for i in range(0, len(w), toxicity.WINDOW)]
+        saved = [len(plain.compress(x)) - len(toxic.compress(x)) for x in cut]
+        features = [min(max([0, *saved]), 12), math.log1p(sum(x for x in saved if x >= toxicity.EVIDENCE)), math.log1p(len(cut))]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], features))
+        score = 1 / (1 + math.exp(-min(max(z, -30), 30)))
+        got = rows[r["doc_id"]]
+        assert got["score"] == pytest.approx(score, abs=1e-9) and got["predicted"] == int(score >= 0.7)
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_toxic_phrases_of_ordinary_words():
+    """Words that occur everywhere score where their order is that of toxic texts."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(200)]
+    phrases = [" ".join(rng.sample(vocabulary, 3)) for _ in range(6)]
+    plain = lambda: [rng.choice(vocabulary) for _ in range(80)]
+
+    def toxic():
+        w = plain()
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), rng.choice(phrases))
+        return w
+
+    make = lambda f, n: [" ".join(f()).encode() for _ in range(n)]
+    model = toxicity.train([(t, 1) for t in make(toxic, 300)] + [(t, 0) for t in make(plain, 600)])
+    high, low = (model.scores(model.features(make(f, 200), model.compressors())) for f in (toxic, plain))
+    assert np.mean(high[:, None] > low[None, :]) > 0.95
+
+
+def test_passages():
+    telling = {b" scum", b"scum ", b"idiot"}
+    assert toxicity.passages(b" you scum and idiots ", telling) == [b" scum ", b"idiot"]
+    assert toxicity.passages(b" nothing here ", telling) == [] and toxicity.passages(b"", telling) == []
