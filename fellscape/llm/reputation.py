@@ -6,6 +6,13 @@ each level the beta-binomial prior has the parent's mean; its weight in pages co
 spread between the groups of that level (one-way analysis of variance).  A host is blocked when
 its bad rate exceeds ``max_bad`` with posterior probability ``confidence``, that is, when the lower
 posterior bound lies above the limit.  Everything is DataFrame functions.
+
+The registered domain is the longest public suffix of the host and the label before it, without user name, port and final
+dot.  Suffixes of several labels come from a bounded table, a parameter; any other last label is a suffix.  An IP address
+is a domain of its own, and all of them share the suffix ``ADDRESS``.
+
+Pages with a NULL or empty url share the empty host.  Urls of any length are taken whole.  Repeated rows get a row each, and an empty
+table an empty result.  Other columns of ``pages`` are not read, so that they cannot clash.
 """
 
 from __future__ import annotations
@@ -22,6 +29,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STEPS = 400
 
 
+# Public suffixes of several labels, registries first, then shared hosting.
+SUFFIXES = tuple("""ac.at ac.il ac.jp ac.kr ac.nz ac.uk ac.za co.at co.id co.il co.in co.jp co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn
+com.co com.eg com.hk com.mx com.my com.ng com.pe com.ph com.pl com.sa com.sg com.tr com.tw com.ua com.vn edu.au edu.cn edu.pl edu.tr gob.mx gov.au
+gov.br gov.cn gov.in gov.uk govt.nz ne.jp net.au net.br net.cn net.in net.nz net.uk or.at or.jp or.kr org.au org.br org.cn org.in org.nz org.uk
+org.za sch.uk
+appspot.com azurewebsites.net blogspot.com cloudfront.net firebaseapp.com github.io gitlab.io herokuapp.com netlify.app pages.dev
+readthedocs.io s3.amazonaws.com vercel.app web.app wordpress.com""".split())
+ADDRESS = "(address)"
+
+
 @dataclass(frozen=True)
 class UrlRule:
     host: str
@@ -64,13 +81,30 @@ def rule_of(rules: Sequence[UrlRule], value: str) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def name_of(host: Column) -> Column:
+    """The host without user name, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^(\[.*|[0-9]{1,3}([.][0-9]{1,3}){3})$")
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest public suffix: one lookup in the table per number of labels."""
+    name = name_of(host)
+    out = F.substring_index(name, ".", -1)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):
+        end = F.substring_index(name, ".", -labels)
+        out = F.when(end.isin([s for s in suffixes if s.count(".") + 1 == labels]), end).otherwise(out)
+    return F.when(is_address(name), F.lit(ADDRESS)).otherwise(out)
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the suffix and one label before it."""
-    return F.substring_index(host, ".", -2)
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """Registered domain: the public suffix and one label before it; a suffix or an address alone is its own."""
+    name, suffix = name_of(host), suffix_of(host, suffixes)
+    before = F.substring_index(F.substring(name, F.lit(1), F.length(name) - F.length(suffix) - 1), ".", -1)
+    return F.when(is_address(name) | (name == suffix), name).otherwise(F.concat(before, F.lit("."), suffix))
 
 
 def prior_weight(groups: DataFrame, settings: Reputation) -> Column:
@@ -105,14 +139,14 @@ def exceeds(a: str, b: str, limit: float) -> Column:
               acc -> acc.above / acc.all)), 1)), 1)""")
 
 
-def hosts(pages: DataFrame, outcomes: DataFrame, settings: Reputation = Reputation()) -> DataFrame:
+def hosts(pages: DataFrame, outcomes: DataFrame, settings: Reputation = Reputation(), suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``host, n, b, verdict``: every host with its labelled and bad pages.
 
     ``pages`` has ``page_id, host``; ``outcomes`` has ``page_id, bad`` (0 or 1), one row per page.
     """
     joined = pages.select("page_id", "host").join(outcomes, "page_id", "left")
     counts = cut(joined.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
-                 .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+                 .withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)))
     by_domain = counts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     top = by_suffix.agg(((F.sum("b") + 0.5) / (F.sum("n") + 1)).alias("mean"), prior_weight(by_suffix, settings).alias("k"))
@@ -144,14 +178,15 @@ def outcomes_of(labels: DataFrame) -> DataFrame:
             .where("bad is not null"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[UrlRule] = RULES, settings: Reputation = Reputation()) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[UrlRule] = RULES, settings: Reputation = Reputation(),
+          suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and the host's labelled pages, a row per row of ``pages``.
 
     A NULL url, or one without ``://``, has an empty host and path; such pages share one reputation.
     Without labels no host is blocked, as the prior mean of one half never exceeds the limit surely.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rated = cut(hosts(urls, outcomes_of(labels), settings))
+    rated = cut(hosts(urls, outcomes_of(labels), settings, suffixes))
     return (urls.join(broadcast_if_small(rated), "host")
             .select("page_id", "host", "path", rule_of(rules, "name").alias("rule"),
                     F.coalesce(rule_of(rules, "verdict"), "host_verdict").alias("verdict"),
@@ -164,9 +199,12 @@ WITH u AS (
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad
       FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS b,
-             array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS b, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name
       FROM u LEFT JOIN o ON o.doc_id = u.page_id GROUP BY host),
+e AS (SELECT *, regexp_full_match(name, '\[.*|[0-9]{1,3}([.][0-9]{1,3}){3}') AS address, string_split(name, '.') AS labels FROM c),
+f AS (SELECT *, CASE WHEN array_to_string(labels[-3:], '.') IN (@3) THEN 3 WHEN array_to_string(labels[-2:], '.') IN (@2) THEN 2 ELSE 1 END AS m FROM e),
+h AS (SELECT host, n, b, CASE WHEN address THEN name ELSE array_to_string(labels[-(m + 1):], '.') END AS domain,
+             CASE WHEN address THEN '(address)' ELSE array_to_string(labels[-m:], '.') END AS suffix FROM f),
 d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b FROM d GROUP BY ALL),
 lv AS (SELECT 1 AS l, n, b FROM s UNION ALL SELECT 2, n, b FROM d UNION ALL SELECT 3, n, b FROM h),
@@ -195,3 +233,5 @@ SELECT page_id, host, path, rule,
        v.n AS host_labelled, v.b AS host_bad
 FROM ru JOIN v USING (host)
 """
+for _labels in (2, 3):
+    SQL = SQL.replace(f"@{_labels}", ", ".join(f"'{x}'" for x in SUFFIXES if x.count(".") + 1 == _labels))

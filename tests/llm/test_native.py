@@ -50,6 +50,28 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     assert [h for h, verdict in got.items() if verdict == "block"] == ["bad.x.com"]  # one bad page does not condemn a host
 
 
+@pytest.mark.parametrize("host, domain, suffix", [
+    ("a.com", "a.com", "com"), ("x.y.a.com", "a.com", "com"), ("com", "com", "com"), ("", "", ""), ("a.co.uk", "a.co.uk", "co.uk"), ("x.a.co.uk:8080", "a.co.uk", "co.uk"),
+    ("co.uk", "co.uk", "co.uk"), ("me.github.io", "me.github.io", "github.io"), ("b.s3.amazonaws.com.", "b.s3.amazonaws.com", "s3.amazonaws.com"), ("u:p@w.a.com:", "a.com", "com"),
+    ("10.0.0.1:99", "10.0.0.1", "(address)"), ("[::1]:80", "[::1]", "(address)"), ("1.2.3.com", "3.com", "com"), ("é.uk", "é.uk", "uk")])
+def test_registered_domains(spark, host, domain, suffix):
+    row = spark.createDataFrame([(host,)], "h string").select(reputation.domain_of(F.col("h")), reputation.suffix_of(F.col("h"))).first()
+    assert tuple(row) == (domain, suffix)
+
+
+def test_domains_below_long_suffixes_are_pooled(spark, tmp_path):
+    """Pages lie one to a host; only the registered domain tells bad hosts from good ones, also for a host without labels."""
+    rows = [(i, f"http://h{i}.{'bad' if i % 2 else 'good'}.co.uk:80/p") for i in range(400)] + [(900, "http://new.bad.co.uk/"), (901, "http://new.good.co.uk/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    verdict = {r["page_id"]: r["verdict"] for r in reputation.judge(pages, labels).collect()}
+    assert all(verdict[i] == ("block" if i % 2 else "allow") for i in range(400)) and verdict[900] == "block" and verdict[901] == "allow"
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    state, _, _, note = check.compare(spark, check.connect(str(tmp_path)), str(tmp_path), "op2", entry.queries()["op2_url_reputation"], reputation.SQL)
+    assert state == "ok", note
+
+
 def test_posterior(spark):
     """The summed posterior against the exact binomial form of the Beta distribution."""
     from math import comb
