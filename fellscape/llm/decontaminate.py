@@ -14,6 +14,10 @@ bounded size, keeps windows that match nothing from being shuffled; what passes
 *Slots.*  Along one alignment of a document and an item, the fillings of the placeholders must map one
 to one: the same value of the item always meets the same value of the document and the other
 way round.  Alignments with equal fillings are ``exact``, others ``reparameterised``.
+
+NULL and empty texts and items hold nothing.  Texts are taken whole, however long.  Rows that repeat an id are judged together, rows without
+one stay in ``clean`` and are not reported.  Of alignments with equally many windows an exact one counts.  An empty table or benchmark gives an empty
+result.  Of ``docs`` only ``doc_id`` and ``text`` are read; ``clean`` returns all its columns as they are.
 """
 
 from __future__ import annotations

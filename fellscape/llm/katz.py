@@ -20,6 +20,9 @@ Rows of single n-grams would be far more bytes than the texts, so tasks exchange
 
 A word or bigram goes through an exchange once per chunk, however frequent it is.  Both tables stay
 partitioned; chunks and partitions have bounded size (but for a single text above the chunk size).
+
+NULL texts count as empty, and an empty text is its end alone.  Texts are taken whole.  Repeated rows are trained on and scored as often as they come; a
+NULL id counts as a training row.  An empty table gives an empty result; without training rows all scores are 0.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,10 @@ so that each class is sampled evenly and the words taken stay close to the targe
 
 The running sum is the expectation times the position, and positions come from counted buckets: a
 source of any size is numbered by many tasks.  Everything is DataFrame functions.
+
+NULL and empty texts have size 0 and are emitted like others of their class; a NULL source is one of its own, ordered last.  Texts are taken whole.  Equal
+hashes are told apart by position, and repeated rows count as rows.  An empty table gives an empty result.  ``mixed`` carries the columns of ``docs``
+inside one struct, so that their names cannot clash.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ stratum then loses at most ``max_false_rejection`` of its good documents.
 
 Among proven rungs the one that rejects most labelled bad documents is taken, the loosest of
 equals; a rule that catches none, or has no proven rung, rejects nothing in that stratum.
+
+NULL and empty texts have no words and fail the base rules; a NULL stratum is one of its own.  Texts are taken whole, however
+long.  Repeated rows get a row each.  An empty table gives an empty result, and without labels only the base rules reject.  Columns of
+``docs`` that are named like a count keep their values (``keep_good`` works under fresh names).
 """
 
 from __future__ import annotations

@@ -19,6 +19,10 @@ many documents share them.  A bucket of more than ``SMALL_BUCKET`` is split agai
 of its open bits at least one is equal within the limit, so the parts are joined the same way,
 down to buckets that are small by their number of open bits.  Buckets return a spanning forest of
 their links, not all pairs; connected components of these edges are those of all links.
+
+NULL and empty texts have the fingerprint zero and are linked like others.  Texts are taken whole, however long.  Equal fingerprints are one node, so
+repeated rows cost nothing more and get a row each; ids of NULL link others and stay NULL.  An empty table gives an empty result.  Only ``doc_id`` and the
+text column are read.
 """
 
 from __future__ import annotations
@@ -199,15 +203,3 @@ def near_copies(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> Data
     named = placed.groupBy("root").agg(F.min("smallest").alias("component_id"))
     names = cut(placed.join(named, "root").select("fp", "component_id"))
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """The documents with the smallest ``doc_id`` of their component, whole.
-
-    Of rows that repeat that id one stays; rows without an id cannot be named and all stay.
-    """
-    found = near_copies(docs, text, limit)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    rest = docs.where("doc_id is null")
-    kept = docs.join(stay, docs["doc_id"] == stay["stay_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionAll(rest)

@@ -16,6 +16,9 @@ curve over the largest difference, their sum and the number of windows gives a p
 
 Fitting takes a bounded sample: at most ``Fit.toxic`` and ``Fit.ordinary`` labelled texts, of at
 most ``Fit.max_bytes`` each, those with the smallest hashes of their ids.  Scoring takes every row.
+
+NULL and empty texts have no windows and get the score of no evidence.  Texts are scored whole, however long.  Repeated rows get a row each; a text labelled
+several times is toxic if any label says so.  An empty table gives an empty result.  Of ``docs`` only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
