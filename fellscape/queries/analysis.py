@@ -76,8 +76,32 @@ add("ward_linkage", _linkage, f"{_TREE} SELECT step, left_id, right_id, {v.t('he
 add("cut_clusters", _cut_fixed, f"{_TREE}, {_flat_sql('2.0')} SELECT label, leaf, cluster FROM leaves JOIN flat USING (leaf)")
 add("cluster_analysis", _clusters, f"""{_TREE}, {_FAR}, {_flat_sql(_THRESHOLD)}
 SELECT label, kind, cluster, {v.t(_THRESHOLD)} AS threshold FROM leaves JOIN flat USING (leaf) JOIN (SELECT DISTINCT label, kind FROM std) AS k USING (label)""")
+# The two leading axes by power iteration: a matrix is squared until its leading axis is left; then the same without that axis.
+_MATRIX = "list_transform({0}, lambda r: list_transform({0}, lambda c: list_dot_product(r, c)))"
+_SCALED = "list_transform({0}, lambda r: list_transform(r, lambda e: e / list_max(list_transform({0}, lambda q: list_max(list_transform(q, lambda f: abs(f)))))))"
+
+
+def _axis_sql(name, matrix):
+    """CTEs from a table ``matrix`` (c) to the unit axis ``name`` (v) whose largest loading is positive."""
+    return f"""{name}_p AS (SELECT 0 AS k, {_SCALED.format('c')} AS q FROM {matrix}
+  UNION ALL SELECT k + 1, {_SCALED.format('s')} FROM (SELECT k, {_MATRIX.format('q')} AS s FROM {name}_p WHERE k < 16)),
+{name}_r AS (SELECT r FROM (SELECT unnest(q) AS r FROM {name}_p WHERE k = 16) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+{name} AS (SELECT list_transform(r, lambda e: e / sqrt(list_dot_product(r, r)) * sign(r[list_position(list_transform(r, lambda f: abs(f)), list_max(list_transform(r, lambda f: abs(f))))])) AS v FROM {name}_r)"""
+
+
+_AXES = f"""ec AS (SELECT feature, avg(z) AS m FROM std GROUP BY feature HAVING count(z) = count(*)),
+ez AS (SELECT label, kind, feature, z - m AS z FROM std JOIN ec USING (feature)),
+em AS (SELECT list(row ORDER BY feature) AS c FROM (SELECT fa AS feature, list(s ORDER BY fb) AS row FROM
+       (SELECT a.feature AS fa, b.feature AS fb, sum(a.z * b.z) AS s FROM ez a JOIN ez b USING (label, kind) GROUP BY ALL) GROUP BY fa)),
+{_axis_sql('one', 'em')},
+ed AS (SELECT list_transform(list_zip(c, v), lambda p: list_transform(list_zip(p[1], v), lambda e: e[1] - l * p[2] * e[2])) AS c
+       FROM (SELECT c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS l FROM em, one)),
+{_axis_sql('two', 'ed')},
+er AS (SELECT label, kind, list(z ORDER BY feature) AS x FROM ez GROUP BY label, kind)"""
 add("embed_2d", lambda spark, sf: analyze.embed_populations(_standard(spark, sf)).select(
-    "label", "kind", tidy("x0").alias("x0"), tidy("x1").alias("x1")))
+    "label", "kind", tidy("x0").alias("x0"), tidy("x1").alias("x1")),
+    f"""WITH RECURSIVE {STANDARD}, {_AXES} SELECT label, kind, {v.t('list_dot_product(x, one.v)')} AS x0, {v.t('list_dot_product(x, two.v)')} AS x1
+FROM er, one, two""")
 
 
 def _analysis(spark, sf):
@@ -87,7 +111,9 @@ def _analysis(spark, sf):
             .select("label", "kind", "cluster", tidy("x0").alias("x0"), tidy("x1").alias("x1")))
 
 
-add("analyze", _analysis)
+add("analyze", _analysis, f"""{_TREE}, {_FAR}, {_flat_sql(_THRESHOLD)}, {_AXES}, named AS (SELECT label, cluster FROM leaves JOIN flat USING (leaf))
+SELECT er.label, kind, cluster, {v.t('list_dot_product(x, one.v)')} AS x0, {v.t('list_dot_product(x, two.v)')} AS x1
+FROM er CROSS JOIN one CROSS JOIN two LEFT JOIN named ON named.label = er.label""")
 
 
 def part_study(**settings):
