@@ -36,8 +36,8 @@ from fellscape.llm.common import binary_rows, broadcast_if_small
 from fellscape.session import cut
 
 WINDOW, MIN_LITERALS = 8, 4
-BATCH_BYTES = 4 << 20
-MEMO_WORDS = 500_000
+BATCH_BYTES = 1 << 20
+MEMO_WORDS = 200_000
 MAX_TABLE_BITS = 28
 
 # Words that stand for numbers and units of measure.

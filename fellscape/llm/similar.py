@@ -1,25 +1,29 @@
-"""Near copies by SimHash with pivot tables at a wide limit, verified by the similarity of five-word shingles.
+"""Near copies by SimHash and tables of distances to reference fingerprints, verified by the similarity of five-word shingles.
 
 *Fingerprints.*  A text is the set of its shingles of ``SHINGLE`` words, lower-cased as in ``simhash``; a shorter text
-is one shingle.  Texts with equal sets are one node.  The fingerprint has ``WIDTH`` bits, since sets of
-similarity 0.8 differ in about 15 of 100 bits, which 64 bits cannot tell from chance.
-
-*Tables.*  As in ``simhash``, the distances to a family of references that differ from a base in single bits of a
-segment say how a fingerprint stands at these bits.  Each node is filed under many segments of bits, as many as
-bring a pair of similarity 0.8 together at least once with probability ``RECALL``.  Segments widen with
-the number of nodes, so that unrelated nodes of a bucket stay about ``LOAD``.
-
-*Pivots.*  Within a bucket nodes are taken one by one.  Each is compared with the references of the bucket, nodes
-that came before; a pair with more than ``LIMIT`` differing bits or too different sizes is discarded.  A node within
-the limit of fewer than ``COVER`` references becomes one itself.  So a group of any size costs its nodes, not its pairs, and a
-task holds the references only.
-
-*Verification.*  Pairs that are left are compared exactly, shingle by shingle.  A first round over a few segments, in which low nodes
-become references everywhere, takes up large groups with few pairs a node and finds hubs, nodes with many links such as the
-original of many copies that are less similar to each other.  A second one over all segments begins with the hubs of each
-bucket, goes on in random order, and proposes pairs of different components only.
-
-Every link is exact; a pair of similarity 0.8 is missed with a probability of about 1 - ``RECALL``, closer ones more rarely.
+is one shingle.  Texts with equal sets are one node.  No SimHash of a whole text tells a similarity of 0.8 for certain, so the
+shingles are also dealt over parts by their hash, and each part has a SimHash of 64 bits of its own.  Sets of
+similarity 0.8 differ in at most a ninth of both sizes together, and each shingle that differs touches one part.  There are at least half
+as many parts as shingles, so most parts of near copies have equal fingerprints.
+
+*Table.*  Each part of a node gets the Hamming distances of its fingerprint to ``REFERENCES`` of the reference fingerprints of ``simhash``.
+By the triangle inequality, parts that differ in a coordinate are not equal.  The coordinates of a part are its join key.
+
+*Joins.*  Of the parts of a node, in one order for all nodes, the first ``n // 4 + 1`` are filed.  Near copies have at most ``n // 4``
+parts that differ, so they share one that both have filed: no pair of similarity 0.8 is left out.  Parts with most shingles that are
+not common come first, which keeps common passages out of the buckets.  What is common is estimated from up to ``SAMPLE``
+documents; it sets the order only, and any order gives the same links.  The number of parts follows the size in steps; sizes whose
+partners may lie beyond a step are filed for both numbers.
+
+*Rounds.*  All rounds join on these keys and compare the proposed pairs exactly, shingle by shingle.  A first one over few keys, in which low nodes of
+a bucket are its pivots, takes up large groups with few pairs a node and finds hubs, nodes with many links such as the
+original of many copies that are less similar to each other.  A second one over more keys begins with the hubs of each
+bucket, goes on in random order, and proposes pairs of different components only.  In both a pair of more than ``LIMIT`` differing bits
+of ``WIDTH`` is passed over and a node within it of ``COVER`` pivots is not one itself, so a group of any size costs its nodes, not its pairs.
+The last round is over all keys and pivots nothing: every pair of different components that shares a key is proposed, unless the distance of
+the two in ``COUNTS`` counts of shingles, which is at most the number of shingles that differ, proves them apart.
+
+So all links are exact and none between different components is missed, but for collisions of 64-bit hashes.
 NULL and empty texts have the empty set and are copies of each other.
 Texts are taken whole, however long.  Two texts under one id are two documents; of rows that repeat id and text one stays.  Rows without an
 id come after all others.  An empty table gives an empty result.  Working columns take names that ``docs`` does not use.
@@ -33,10 +37,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fellscape.llm.common import binary_rows, broadcast_if_small, fresh
 from fellscape.llm.components import components
+from fellscape.llm.simhash import references
 from fellscape.session import scratch
 
 SHINGLE = 5
@@ -45,11 +50,18 @@ WIDTH = 256
 #: Differing bits that sets of the least similarity exceed hardly ever.
 APART = math.acos(2 * NEAR / (NEAR + OF)) / math.pi
 LIMIT = math.floor(WIDTH * APART + 4 * math.sqrt(WIDTH * APART * (1 - APART)))
-RECALL, LOAD, LEAST_BITS = 0.995, 256, 12
-FIRST_SEGMENTS, COVER = 6, 2
+#: References of the table; a distance takes seven bits, a row of nine one long.
+REFERENCES = 9
+PIVOTS = references(REFERENCES)
+COUNTS = 256
+LEAST_PARTS = 64
+FIRST_KEYS, SECOND_KEYS, COVER = 6, 12, 2
+#: Bytes of a fingerprint that the first two rounds read.
+BRIEF = WIDTH // 8 + COUNTS + 8 * SECOND_KEYS
+SAMPLE, COMMON, MOST_COMMON = 4_000, 5, 100_000
 CHUNK = 1024
-BATCH_BYTES = 8 << 20
-MEMO_WORDS = 500_000
+BATCH_BYTES = 4 << 20
+MEMO_WORDS = 200_000
 
 
 class Codes(dict):
@@ -86,13 +98,71 @@ def node_of(items: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
 
 
-def fingerprint(items: np.ndarray) -> bytes:
-    """``WIDTH`` bits, each set if it is in over half of the hashes derived from the shingles."""
+def part_counts(n: int) -> list[int]:
+    """Numbers of parts under which a set of ``n`` shingles is filed: its own, and the next if a larger near copy may have that."""
+    own = LEAST_PARTS
+    while n >= 2 * own:
+        own *= 4
+    return [own, 4 * own] if n * OF // NEAR >= 2 * own else [own]
+
+
+def simhashes(items: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of 64 bits of each stretch of ``items``; the stretches begin at ``starts``."""
+    ends, out = np.append(starts[1:], len(items)), np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), 4096):
+        own, sizes = starts[k:k + 4096], (ends - starts)[k:k + 4096]
+        bits = np.unpackbits(items[own[0]:ends[k + len(own) - 1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, own - own[0], axis=0, dtype=np.int64)
+        out[k:k + 4096] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def distances(prints: np.ndarray) -> np.ndarray:
+    """The table: a row of distances to the references for each fingerprint."""
+    return np.bitwise_count(prints[:, None] ^ PIVOTS)
+
+
+def filed_keys(items: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Keys of the first parts of a set: number of parts, part and coordinates of its fingerprint."""
+    if not len(items):
+        return np.empty(0, np.uint64)
+    where, at = mixed(items ^ np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(common, items)
+    plain = np.append(common, np.uint64(0))[at] != items if len(common) else np.ones(len(items), bool)
+    shifts, keys = np.uint64(7) * np.arange(REFERENCES, dtype=np.uint64), []
+    for parts in part_counts(len(items)):
+        part = where & np.uint64(parts - 1)
+        order = np.argsort(part, kind="stable")
+        dealt = part[order]
+        starts = np.append(0, np.flatnonzero(dealt[1:] != dealt[:-1]) + 1)
+        present = dealt[starts]
+        prints, rare = simhashes(mixed(items[order] + np.uint64(0x94D049BB133111EB)), starts), np.add.reduceat(plain[order].astype(np.int64), starts)
+        wanted = len(items) // 4 + 1
+        if len(present) < wanted:  # parts without shingles are equal in both sets, or count as one that differs
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), present)
+            present, prints, rare = np.append(present, empty), np.append(prints, np.zeros_like(empty)), np.append(rare, np.full(len(empty), -1))
+        row = (distances(prints).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
+        key = mixed(row ^ mixed(present + np.uint64(parts << 32)))
+        keys.append(key[np.lexsort((key, -rare))[:wanted]])
+    return np.concatenate(keys)
+
+
+def fingerprint(items: np.ndarray, common: np.ndarray = np.empty(0, np.uint64)) -> bytes:
+    """``WIDTH`` bits, each set if it is in over half of the hashes derived from the shingles; ``COUNTS`` counts; the keys of the filed parts.
+
+    A count is the number of shingles (255 at most) whose hash has that remainder.
+    """
     lanes = mixed(items[:, None] + np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
     ones = np.zeros(WIDTH, np.int64)
     for k in range(0, len(lanes), 4096):
         ones += np.add.reduce(np.unpackbits(lanes[k:k + 4096].astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(items), bitorder="little").tobytes()
+    counts = np.minimum(np.bincount((mixed(items) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8)
+    return np.packbits(2 * ones > len(items), bitorder="little").tobytes() + counts.tobytes() + filed_keys(items, common).astype("<u8").tobytes()
+
+
+def _opened(fps: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all fingerprints, ``most`` of each, and the row each belongs to."""
+    keys = [np.frombuffer(fp, "<i8", offset=WIDTH // 8 + COUNTS)[:most] for fp in fps.to_pylist()]
+    return np.concatenate(keys or [np.empty(0, np.int64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
 
 
 def near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -101,14 +171,6 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return (NEAR + OF) * both >= NEAR * (len(a) + len(b))
 
 
-def segments(nodes: int) -> np.ndarray:
-    """Bits of each segment, a row each; the same for the same number of nodes."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(nodes, 1) / LOAD)))
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - APART) ** bits))
-    rng = np.random.default_rng(bits)
-    return np.array([rng.choice(WIDTH, bits, replace=False) for _ in range(count)])
-
-
 def _mapped(rows: DataFrame, schema: str, kinds: list, value) -> DataFrame:
     """``rows`` (first column kept, ``raw`` last) with what ``value`` makes of the shingles of each text."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
@@ -129,29 +191,36 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(column).alias("tx"), column.cast("binary").alias("raw"))
 
 
+def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+    """Shingles in at least ``COMMON`` of up to about ``SAMPLE`` different texts, chosen by hash; the most frequent, if many.
+
+    They set the order of the parts and with it the size of the buckets; the links do not depend on them.
+    """
+    share = max(1, docs.count() // SAMPLE)
+    some = _keyed(docs, text).where(F.pmod("tx", F.lit(share)) == 0).dropDuplicates(["tx"]).select("tx", "raw")
+    items = _mapped(some, "items array<long>", [pa.list_(pa.int64())], lambda x: (x.view(np.int64),)).select(F.explode("items").alias("item"))
+    often = items.groupBy("item").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "item").limit(MOST_COMMON)
+    return np.sort(often.select("item").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def proposed(nodes: DataFrame, again: bool) -> DataFrame:
-    """``a, b``: nodes and the references of their buckets within the limit; of other components only if ``again``.
+    """``a, b``: nodes and the pivots of their buckets within the limit; of other components only if ``again``.
 
     ``nodes`` has ``node, n, fp`` and, for the second round, ``root`` and ``links``, the number of verified links.
     """
-    parts = segments(nodes.count())[:None if again else FIRST_SEGMENTS]
-    weights = np.uint64(1) << np.arange(parts.shape[1], dtype=np.uint64)
-    salts = mixed(np.arange(1, len(parts) + 1, dtype=np.uint64))
     schema = "key long, rank int, node long, root long, n int, fp binary"
 
     def filed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(-1, WIDTH // 8)
-                bits = np.unpackbits(fp, axis=1, bitorder="little")
-                keys = np.stack([mixed((bits[:, p] * weights).sum(axis=1, dtype=np.uint64) + s) for p, s in zip(parts, salts)], axis=1)
-                at = np.repeat(np.arange(len(bits)), len(parts))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(part.column(c).take(pa.array(at)) for c in ("rank", "node", "root", "n", "fp"))],
+                keys, at = _opened(part.column("fp"), SECOND_KEYS if again else FIRST_KEYS)
+                bits = pa.array([fp[:WIDTH // 8] for fp in part.column("fp").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(pa.array(at)) for c in ("rank", "node", "root", "n")), bits.take(pa.array(at))],
                                                  names=["key", "rank", "node", "root", "n", "fp"])
 
     class Bucket:
-        """References of one bucket and what they propose."""
+        """Pivots of one bucket and what they propose."""
 
         def __init__(self, key: int) -> None:
             self.key, self.node, self.root, self.n = key, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -204,6 +273,66 @@ def proposed(nodes: DataFrame, again: bool) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _crossed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Pairs within whole buckets, sorted by key and size, of different roots that their sizes and counts do not prove apart."""
+    key, node, root, n = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("key", "node", "root", "n"))
+    counts = np.frombuffer(b"".join(c for b in batches for c in b.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
+    n, rows, found = n.astype(np.int64), np.arange(len(key)), []
+    for shift in range(1, len(key)):  # each shift takes one row further
+        rows = rows[rows + shift < len(key)]
+        rows = rows[(key[rows] == key[rows + shift]) & (NEAR * n[rows + shift] <= OF * n[rows])]
+        if not len(rows):
+            break
+        left = rows[root[rows] != root[rows + shift]]
+        for k in range(0, len(left), 4096):
+            i = left[k:k + 4096]
+            apart = np.abs(counts[i].astype(np.int16) - counts[i + shift]).sum(axis=1, dtype=np.int64)
+            i = i[(NEAR + OF) * apart <= (OF - NEAR) * (n[i] + n[i + shift])]
+            found.append(np.stack((node[i], node[i + shift])))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
+
+
+def crossing(rows: DataFrame, counts: DataFrame, cut) -> DataFrame:
+    """``a, b``: every pair of nodes of different roots that share a key, unless proven apart.
+
+    ``rows`` has ``node, root, fp``, a node any number of times, and ``counts`` has ``node, n, counts``, each once.
+    """
+
+    def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                keys, at = _opened(part.column("fp"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(c).take(pa.array(at)) for c in ("node", "root"))], names=["key", "node", "root"])
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            ends = np.flatnonzero(np.diff(key)) + 1
+            if len(ends):  # the last bucket may go on in the next batch
+                yield _crossed([*held, batch.slice(0, ends[-1])])
+                held = [batch.slice(ends[-1])]
+            elif held and key[0] != last:
+                yield _crossed(held)
+                held = [batch]
+            else:
+                held.append(batch)
+            last = key[-1]
+        if held:
+            yield _crossed(held)
+
+    own = Window.partitionBy("key")
+    keys = rows.select("node", "root", "fp").mapInArrow(opened, "key long, node long, root long")
+    keys = keys.withColumn("met", F.min("root").over(own) != F.max("root").over(own)).where("met")
+    met = cut(keys.select("key", "node", "root").distinct()).join(counts, "node").select("key", "node", "root", "n", "counts")
+    pairs = met.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(compared, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, cut) -> DataFrame:
     """The pairs ``a, b`` of nodes that are near copies, compared on their whole sets."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -224,18 +353,28 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, cut
 
 def _labelled(docs: DataFrame, text: str, cut) -> tuple[DataFrame, DataFrame]:
     """``doc_id, tx, node`` of each row, and ``node, root`` of all nodes with the first row of the root's component."""
-    kinds = [pa.int64(), pa.int32(), pa.binary()]
-    rows = cut(_mapped(_keyed(docs, text), "node long, n int, fp binary", kinds, lambda x: (node_of(x), len(x), fingerprint(x))))
+    kinds, common = [pa.int64(), pa.int32(), pa.binary()], common_shingles(docs, text)
+    rows = cut(_mapped(_keyed(docs, text), "node long, n int, fp binary", kinds, lambda x: (node_of(x), len(x), fingerprint(x, common))))
     key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tx")
-    nodes = cut(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    brief = F.substring("fp", 1, BRIEF).alias("fp")
+    nodes = cut(rows.select("node", "doc_id", "tx", "n", brief).groupBy("node").agg(F.min(key).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return nodes.join(components(links, "a", "b", cut), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     pairs = cut(proposed(nodes, False))
     links = cut(verified(pairs, nodes, docs, text, cut))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    placed = nodes.join(components(links, "a", "b", cut), "node", "left").join(degree, "node", "left")
-    placed = cut(placed.withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0))))
-    more = cut(proposed(placed, True).join(pairs, ["a", "b"], "left_anti"))
+    hubs = cut(rooted(links).join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))).select("node", "root", "links", "n", "fp"))
+    more = cut(proposed(hubs, True).join(pairs, ["a", "b"], "left_anti"))
+    links = cut(links.unionAll(verified(more, nodes, docs, text, cut)))
+    pairs = pairs.unionAll(more)
+    names = rooted(links).select("node", "root", F.col("first.doc_id").alias("first_id"), F.col("first.tx").alias("first_tx"))
+    once = rows.join(names, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tx") == F.col("first_tx")))
+    counts = nodes.select("node", "n", F.substring("fp", WIDTH // 8 + 1, COUNTS).alias("counts"))
+    more = cut(crossing(once, counts, cut).join(pairs, ["a", "b"], "left_anti"))
     links = cut(links.unionAll(verified(more, nodes, docs, text, cut)))
-    placed = cut(nodes.select("node", "first").join(components(links, "a", "b", cut), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = cut(rooted(links).select("node", "first", "root"))
     heads = placed.groupBy("root").agg(F.min("first").alias("head"))
     return rows.select("doc_id", "tx", "node"), placed.join(heads, "root").select("node", "head")
 

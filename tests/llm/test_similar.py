@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fellscape.llm import similar
+from fellscape.llm import similar, simhash
 
 from .conftest import DOCS, words
 
@@ -143,3 +144,55 @@ def test_rows_that_share_an_id(spark):
     for order in (rows, rows[::-1]):
         got = similar.one_of_each(spark.createDataFrame(order, "doc_id long, text string, lang string")).collect()
         assert sorted(map(tuple, got), key=str) == sorted([(4, a, "x"), (65, b, "w"), (None, "alone", "x")], key=str)
+
+
+def test_no_link_at_the_limit_is_lost(spark):
+    """Short texts of four and five shingles, four of them shared: similarity exactly 0.8, and every link is found."""
+    rng = random.Random(17)
+    bases = [words(rng, 8, 10**6) for _ in range(1500)]
+    texts = [*bases, *(f"{t} more" for t in bases)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.groups(docs).collect()}
+    assert got == {i: i % 1500 for i in range(3000)}
+
+
+def test_table_of_distances():
+    """Coordinates are distances to the references of operator 3; near copies share a filed key, whatever is common."""
+    rng = np.random.default_rng(18)
+    items = np.unique(rng.integers(0, 1 << 64, 700, dtype=np.uint64))
+    prints = similar.simhashes(items, np.array([0, 1, 5, 300]))
+    for print_, own in zip(prints, np.split(items, [1, 5, 300])):
+        assert all((int(print_) >> k & 1) == (2 * sum(int(x) >> k & 1 for x in own) > len(own)) for k in range(64))
+    table = similar.distances(prints)
+    assert table.tolist() == [[(int(p) ^ int(r)).bit_count() for r in simhash.references()[:similar.REFERENCES]] for p in prints]
+    for _ in range(1500):
+        n = int(rng.choice([4, 5, 9, 40, 101, 102, 103, 127, 128, 200, 409, 410, 500, 511, 512, 513, 1700, 2048]))
+        pool = rng.integers(0, 1 << 64, 2 * n + 2, dtype=np.uint64)
+        least = -(-4 * n // 5)
+        both = int(rng.integers(least, n + 1))  # of the n shingles of a, and b has as many more as the limit allows
+        extra = (5 * both - 4 * n) // 4
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:both], pool[n:n + extra])))
+        assert similar.near(a, b)
+        common = np.sort(rng.choice(pool, n // 2, replace=False))
+        assert set(similar.filed_keys(a, common).tolist()) & set(similar.filed_keys(b, common).tolist())
+        assert len(similar.filed_keys(a, common)) == (n // 4 + 1) * len(similar.part_counts(n))
+
+
+def test_last_round_against_all_pairs(spark):
+    """Without the first two rounds: all pairs of a bucket are compared, also of one that spans Arrow batches."""
+    rng = random.Random(19)
+    base = words(rng, 100, 5000)
+    texts = [edited(rng, base, rng.randrange(1, 4)) for _ in range(250)]
+    codes = similar.Codes()
+    sets = {similar.node_of(x): x for x in (similar.shingles(t.encode(), codes) for t in texts)}
+    rows = [(k, k, len(x), bytearray(similar.fingerprint(x))) for k, x in sets.items()]
+    rows = spark.createDataFrame(rows + rows[:50], "node long, root long, n int, fp binary")
+    counts = rows.distinct().select("node", "n", F.substring("fp", similar.WIDTH // 8 + 1, similar.COUNTS).alias("counts"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {tuple(r) for r in similar.crossing(rows, counts, lambda df: df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and similar.near(x, y)}
+    assert want <= got and len(want) > 1000 and len(got) < len(sets) * (len(sets) - 1) / 2
