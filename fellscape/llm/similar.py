@@ -56,6 +56,7 @@ PIVOTS = references(REFERENCES)
 COUNTS = 256
 LEAST_PARTS = 64
 FIRST_KEYS, SECOND_KEYS, COVER = 6, 12, 2
+EARLIER = 8
 #: Bytes of a fingerprint that the first two rounds read.
 BRIEF = WIDTH // 8 + COUNTS + 8 * SECOND_KEYS
 SAMPLE, COMMON, MOST_COMMON = 4_000, 5, 100_000
@@ -274,9 +275,16 @@ def proposed(nodes: DataFrame, again: bool) -> DataFrame:
 
 
 def _crossed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Pairs within whole buckets, sorted by key and size, of different roots that their sizes and counts do not prove apart."""
+    """Pairs within whole buckets, sorted by key and size, of different roots that their sizes and counts do not prove apart.
+
+    A pair that shares one of the ``EARLIER`` keys before this one is left to that bucket, so the lowest shared key always proposes it.
+    """
     key, node, root, n = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("key", "node", "root", "n"))
     counts = np.frombuffer(b"".join(c for b in batches for c in b.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
+    before = [b.column("before") for b in batches]
+    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in before])
+    earlier, held = np.zeros((len(key), EARLIER), np.int64), np.arange(EARLIER) < sizes[:, None]
+    earlier[held] = np.concatenate([x.flatten().to_numpy() for x in before])
     n, rows, found = n.astype(np.int64), np.arange(len(key)), []
     for shift in range(1, len(key)):  # each shift takes one row further
         rows = rows[rows + shift < len(key)]
@@ -288,6 +296,8 @@ def _crossed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
             i = left[k:k + 4096]
             apart = np.abs(counts[i].astype(np.int16) - counts[i + shift]).sum(axis=1, dtype=np.int64)
             i = i[(NEAR + OF) * apart <= (OF - NEAR) * (n[i] + n[i + shift])]
+            again = (earlier[i][:, :, None] == earlier[i + shift][:, None]) & held[i][:, :, None] & held[i + shift][:, None]
+            i = i[~again.any(axis=(1, 2))]
             found.append(np.stack((node[i], node[i + shift])))
     pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
@@ -328,7 +338,9 @@ def crossing(rows: DataFrame, counts: DataFrame, cut) -> DataFrame:
     own = Window.partitionBy("key")
     keys = rows.select("node", "root", "fp").mapInArrow(opened, "key long, node long, root long")
     keys = keys.withColumn("met", F.min("root").over(own) != F.max("root").over(own)).where("met")
-    met = cut(keys.select("key", "node", "root").distinct()).join(counts, "node").select("key", "node", "root", "n", "counts")
+    met = cut(keys.select("key", "node", "root").distinct()).join(counts, "node")
+    earlier = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)).alias("before")
+    met = met.select("key", "node", "root", "n", "counts", earlier)
     pairs = met.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(compared, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
