@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fellscape.llm.common import binary_rows, broadcast_if_small
+from fellscape.llm.common import binary_rows, broadcast_if_small, in_batches
 from fellscape.session import cut
 
 WINDOW, MIN_LITERALS = 8, 4
@@ -194,7 +194,7 @@ def document_windows(docs: DataFrame, table: np.ndarray, lengths: Sequence[int])
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     source = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    return source.mapInArrow(run, "doc_id long, at long, hash long, slots array<string>")
+    return in_batches(source).mapInArrow(run, "doc_id long, at long, hash long, slots array<string>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, limits: Limits = Limits()) -> DataFrame:

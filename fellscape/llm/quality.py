@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from fellscape.llm.common import binary_rows, broadcast_if_small, fresh
+from fellscape.llm.common import binary_rows, broadcast_if_small, fresh, in_batches
 from fellscape.session import cut
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -105,7 +105,7 @@ def with_measures(docs: DataFrame, text: str = "text", keep: Sequence[str] | Non
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], names=[*kept, *names])
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(raw))
-    return source.mapInArrow(run, schema), names
+    return in_batches(source).mapInArrow(run, schema), names
 
 
 def base_failed() -> Column:

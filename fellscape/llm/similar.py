@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fellscape.llm.common import binary_rows, broadcast_if_small, fresh
+from fellscape.llm.common import binary_rows, broadcast_if_small, fresh, in_batches
 from fellscape.llm.components import components
 from fellscape.llm.simhash import references
 from fellscape.session import scratch
@@ -183,7 +183,7 @@ def _mapped(rows: DataFrame, schema: str, kinds: list, value) -> DataFrame:
             columns = list(zip(*(value(shingles(t.as_py(), codes)) for t in batch.column("raw")))) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=kept + names)
 
-    return rows.mapInArrow(run, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), schema]))
+    return in_batches(rows).mapInArrow(run, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), schema]))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -360,7 +360,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, cut
             yes = [near(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) for x, y in zip(batch.column("ours"), batch.column("theirs"))]
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return work.select("a", "b", "ours", "theirs").mapInArrow(run, "a long, b long")
+    return in_batches(work.select("a", "b", "ours", "theirs")).mapInArrow(run, "a long, b long")
 
 
 def _labelled(docs: DataFrame, text: str, cut) -> tuple[DataFrame, DataFrame]:
